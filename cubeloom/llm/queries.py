@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, secret_scan, url_filter
+from . import minhash_dedup, mixing, quality_rules, secret_scan, url_filter
 from .sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_url_filter": url_filter.report,
         "op2_secret_scan": _docs(secret_scan.report),
+        "op3_minhash_dedup": _docs(minhash_dedup.near_duplicates),
         "op6_mixing": _docs(mixing.report),
         "op10_quality_rules": _docs(quality_rules.report),
     }
