@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup, mixing, packing, quality_rules, secret_scan, url_filter
+from . import ann, minhash_dedup, mixing, packing, quality_rules, secret_scan, url_filter
 from .sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op3_minhash_dedup": _docs(minhash_dedup.near_duplicates),
         "op6_mixing": _docs(mixing.report),
         "op7_packing": _docs(packing.pack),
+        "op8_nearest_neighbours": ann.report,
         "op10_quality_rules": _docs(quality_rules.report),
     }
 
