@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, minhash_dedup, mixing, packing, quality_rules, secret_scan, url_filter
+from . import ann, minhash_dedup, mixing, packing, quality_rules, secret_scan, substring_dedup, url_filter
 from .sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op1_url_filter": url_filter.report,
         "op2_secret_scan": _docs(secret_scan.report),
         "op3_minhash_dedup": _docs(minhash_dedup.near_duplicates),
+        "op4_substring_dedup": _docs(substring_dedup.remove_repeats),
         "op6_mixing": _docs(mixing.report),
         "op7_packing": _docs(packing.pack),
         "op8_nearest_neighbours": ann.report,
