@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, minhash_dedup, mixing, packing, quality_rules, secret_scan, substring_dedup, url_filter
+from . import ann, minhash_dedup, mixing, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, url_filter
 from .sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op6_mixing": _docs(mixing.report),
         "op7_packing": _docs(packing.pack),
         "op8_nearest_neighbours": ann.report,
+        "op9_suffix_dedup": _docs(suffix_dedup.remove_repeats),
         "op10_quality_rules": _docs(quality_rules.report),
     }
 

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,8 @@ from ._spark import Scratch, checked, text_or_empty
 
 WINDOW = 35
 SHORTEST = 9
+#: Bytes handled at once where places are bytes.
+BYTES_CHUNK = 1 << 20
 
 
 def lengths(window: int = WINDOW, shortest: int = SHORTEST) -> list[int]:
@@ -54,41 +56,59 @@ def _ranges_mask(ranges: list[bytes | None], first: np.ndarray, n: int) -> np.nd
     return np.cumsum(edge[:n]) > 0
 
 
+def slices(b: pa.RecordBatch, col: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with about ``most`` bytes in a string column."""
+    off = np.cumsum([0, *(n or 0 for n in pc.binary_length(b.column(col)).to_pylist())])
+    for lo, hi in _text.chunks(off, most):
+        yield b.slice(lo, hi - lo)
+
+
 _ASKS = "src long, doc_ids array<bigint>, ths array<bigint>, run_doc binary, run_start binary, run_asks binary, widths binary, keys binary"
 
 
-def _asks(window: int, length: int, narrowed: bool):
+def chosen(raw: np.ndarray, off: np.ndarray, window: int, length: int, ranges: list | None, of_bytes: bool) -> tuple[np.ndarray, ...]:
+    """Candidate windows of a chunk by the stretch they chose.
+
+    (first place of each text, window places, their texts, place in these of the first window
+    of each ask, keys of the asks): consecutive windows of one choice are one ask.
+    """
+    if of_bytes:
+        first, n, stretch = off, len(raw), _text.byte_window_hashes(raw, length)
+    else:
+        starts, ends, first = _text.words(raw, off)
+        n, stretch = len(starts), _text.window_hashes(_text.word_hashes(raw, starts, ends), length)
+    arg = _text.sliding_min_args(stretch, window - length + 1)
+    live = _text.inside(first, n, window)[: len(arg)]
+    if ranges is not None:
+        live &= _ranges_mask(ranges, first, n)[: len(arg)]
+    p = np.flatnonzero(live)
+    doc = np.searchsorted(first, p, side="right") - 1
+    a = arg[p]
+    new_ask = np.ones(len(p), bool)
+    new_ask[1:] = (p[1:] != p[:-1] + 1) | (doc[1:] != doc[:-1]) | (a[1:] != a[:-1])
+    at = np.flatnonzero(new_ask)
+    # The least of many hashes is small: mixed anew, keys spread over all values.
+    return first, p, doc, at, _text.mix(stretch[a[at]] + np.uint64(0x2545F4914F6CDD1D))
+
+
+def _asks(window: int, length: int, narrowed: bool, of_bytes: bool):
     """Rows (doc_id, th, text[, ranges]) to blocks of asks: for each stretch its key and how many consecutive windows chose it."""
 
     def block(src: int, ids: list, ths: list, col: pa.Array, ranges: list | None) -> list:
         raw, off = _text.string_buffers(col)
-        starts, ends, first = _text.words(raw, off)
-        h = _text.word_hashes(raw, starts, ends)
-        stretch = _text.window_hashes(h, length)
-        arg = _text.sliding_min_args(stretch, window - length + 1)
-        live = _text.inside(first, len(h), window)[: len(arg)]
-        if ranges is not None:
-            live &= _ranges_mask(ranges, first, len(h))[: len(arg)]
-        p = np.flatnonzero(live)
-        doc = np.searchsorted(first, p, side="right") - 1
-        a = arg[p]
-        new_run = np.ones(len(p), bool)
-        new_run[1:] = (p[1:] != p[:-1] + 1) | (doc[1:] != doc[:-1])
-        new_ask = new_run.copy()
-        new_ask[1:] |= a[1:] != a[:-1]
-        at = np.flatnonzero(new_ask)
+        first, p, doc, at, keys = chosen(raw, off, window, length, ranges, of_bytes)
         widths = np.diff(np.append(at, len(p))).astype(np.uint16)
-        runs = np.flatnonzero(new_run[at])
+        new_run = np.ones(len(at), bool)
+        new_run[1:] = (p[at[1:]] != p[at[1:] - 1] + 1) | (doc[at[1:]] != doc[at[1:] - 1])
+        runs = np.flatnonzero(new_run)
         per_run = np.diff(np.append(runs, len(at))).astype(np.uint32)
         r = at[runs]
-        return [src, ids, ths, doc[r].astype(np.uint32).tobytes(), (p[r] - first[doc[r]]).astype(np.uint32).tobytes(), per_run.tobytes(), widths.tobytes(), stretch[a[at]].tobytes()]
+        return [src, ids, ths, doc[r].astype(np.uint32).tobytes(), (p[r] - first[doc[r]]).astype(np.uint32).tobytes(), per_run.tobytes(), widths.tobytes(), keys.tobytes()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src = TaskContext.get().partitionId() << 32
         for b in batches:
-            off = np.cumsum([0, *(n or 0 for n in pa.compute.binary_length(b.column(2)).to_pylist())])
-            for lo, hi in _text.chunks(off):
-                part = b.slice(lo, hi - lo)
+            for part in slices(b, 2, BYTES_CHUNK if of_bytes else _text.CHUNK_BYTES):
                 row = block(src, part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist() if narrowed else None)
                 src += 1
                 if len(row[-1]):
@@ -125,9 +145,9 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _level(rows: DataFrame, window: int, length: int, narrowed: bool, scratch: Scratch) -> DataFrame:
+def level(rows: DataFrame, window: int, length: int, narrowed: bool, scratch: Scratch, of_bytes: bool = False) -> DataFrame:
     """One level: (doc_id, th, ranges) of the windows that survive it, a written table, one row for each id and text."""
-    asks = scratch.write(rows.mapInArrow(_asks(window, length, narrowed), _ASKS), f"asks{length}")
+    asks = scratch.write(rows.mapInArrow(_asks(window, length, narrowed, of_bytes), _ASKS), f"asks{length}")
     joined = asks.join(_repeats.repeated(asks), "src", "left")
     found = joined.mapInArrow(_survivors, "doc_id long, th long, ranges binary").groupBy("doc_id", "th").agg(F.first("ranges").alias("ranges"))
     found = scratch.write(found, f"ranges{length}")
@@ -135,7 +155,7 @@ def _level(rows: DataFrame, window: int, length: int, narrowed: bool, scratch: S
     return found
 
 
-def _with_ranges(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+def with_ranges(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
     size = found.agg(F.sum(F.octet_length("ranges") + 64)).first()[0] or 0
     side = checked(found.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "ranges"), size)
     return rows.join(side, rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["th"] == F.col("_t")), how).select(*rows.columns, "ranges")
@@ -147,8 +167,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
     found, levels = None, lengths(window)
     for length in levels:
-        step = rows if found is None else _with_ranges(rows, found, "inner")
-        found = _level(step, window, length, found is not None, scratch)
+        step = rows if found is None else with_ranges(rows, found, "inner")
+        found = level(step, window, length, found is not None, scratch)
         if not found.limit(1).count():
             break
     return rows, found
@@ -187,4 +207,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) of every row of ``docs``."""
     rows, found = repeated_windows(docs, window)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return _with_ranges(rows, found, "left").select("doc_id", "th", "text", "ranges").mapInArrow(_cut(window, with_text), schema)
+    return with_ranges(rows, found, "left").select("doc_id", "th", "text", "ranges").mapInArrow(_cut(window, with_text), schema)
