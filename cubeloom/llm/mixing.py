@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, text_or_empty, words_of
+from ._spark import Scratch, checked, text_or_empty, words_of
 
 MOST_COPIES = 3
 SEED = 17
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     size = F.size(words_of(text_or_empty())).cast("long")
-    sized = scratch.write(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.monotonically_increasing_id().alias("row")), "sized")
+    sized = scratch.write(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(text_or_empty()).alias("th"), F.monotonically_increasing_id().alias("row")), "sized")
     plan = scratch.write(targets(sized, weights, most), "targets")
     due = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
@@ -112,9 +112,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_
     for s in settled[1:]:
         ups = ups.union(s)
     out = due.join(ups, "row", "left")
-    return out.select("row", "doc_id", "size", "source_size", "target", (F.col("base") + F.coalesce("up", F.lit(0))).cast("int").alias("copies"))
+    return out.select("row", "doc_id", "th", "size", "source_size", "target", (F.col("base") + F.coalesce("up", F.lit(0))).cast("int").alias("copies"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: its size, its source's size and target, and the words the mix takes of it."""
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def apply(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it."""
+    taken = mix(docs, weights, most, seed).groupBy("doc_id", "th").agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_m"))
+    taken = Scratch(docs.sparkSession, "mixed").write(taken, "taken")
+    side = checked(taken.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "_c", "_m"), 48 * taken.count())
+    rows = docs.join(side, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(text_or_empty()) == F.col("_t")))
+    alone = rows.where("_m = 1").withColumn("_n", F.col("_c"))
+    # Rows equal in id and text share their copies.
+    order = Window.partitionBy("_d", "_t").orderBy(F.lit(0))
+    equal = rows.where("_m > 1").withColumn("_n", F.floor(F.col("_c") / F.col("_m")) + (F.row_number().over(order) <= F.col("_c") % F.col("_m")).cast("int"))
+    both = alone.unionByName(equal).where("_n > 0")
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(docs.columns)

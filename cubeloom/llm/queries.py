@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, minhash_dedup, mixing, packing, quality_rules, secret_scan, substring_dedup, suffix_dedup, url_filter
+from . import ann, minhash_dedup, mixing, packing, pii, quality_rules, secret_scan, substring_dedup, suffix_dedup, url_filter
 from .sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op2_secret_scan": _docs(secret_scan.report),
         "op3_minhash_dedup": _docs(minhash_dedup.near_duplicates),
         "op4_substring_dedup": _docs(substring_dedup.remove_repeats),
+        "op5_personal_data": _docs(pii.report),
         "op6_mixing": _docs(mixing.report),
         "op7_packing": _docs(packing.pack),
         "op8_nearest_neighbours": ann.report,
