@@ -139,23 +139,21 @@ def inside(first: np.ndarray, n: int, k: int) -> np.ndarray:
 
 
 def sliding_min_args(x: np.ndarray, w: int) -> np.ndarray:
-    """For each window of w values the place of its least value, the leftmost of equal ones."""
+    """For each window of w values the place of its least value (by the high 32 bits or more), the leftmost of equal ones.
+
+    Places ride in the low bits, so that one minimum per doubling step does both.
+    """
     n = len(x) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    val, arg, step = x.copy(), np.arange(len(x)), 1
+    low = _U((1 << min(32, len(x).bit_length())) - 1)
+    val, step = (x & ~low) | np.arange(len(x), dtype=np.uint64), 1
     while step * 2 <= w:
-        a, b = val[:-step], val[step:]
-        right = b < a
-        arg = np.where(right, arg[step:], arg[:-step])
-        val = np.where(right, b, a)
+        val = np.minimum(val[:-step], val[step:])
         step *= 2
     if step < w:
-        shift = w - step
-        a, b = val[: len(val) - shift], val[shift:]
-        right = b < a
-        arg = np.where(right, arg[shift:], arg[: len(arg) - shift])
-    return arg[:n]
+        val = np.minimum(val[: step - w], val[w - step :])
+    return (val[:n] & low).astype(np.int64)
 
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:

@@ -6,8 +6,9 @@ document with a smaller id.
 1. Each string chooses the 16-byte stretch in it with the least hash; strings whose stretch
    occurs once in the corpus are unique and go no further.
 2. The others are dealt to shards by their stretch, so that equal strings meet: for each
-   stretch the bytes of all its strings are sent once, as one fragment.  Fragments that are
-   equal within a block are sent for the smallest document only, the others are removed at once.
+   stretch the bytes of all its strings are sent once, as one fragment.  Of equal fragments,
+   first in a block and then in a shard, only the smallest document's is searched; the others
+   are removed as a whole.
 3. In a shard, documents come in ascending order of id, in batches.  A batch gets a suffix
    array (its strings' places in byte order), is merge-scanned against every level of the
    index, and its new strings become a level; levels of about equal size merge, so there are
@@ -159,16 +160,25 @@ def _search(window: int):
         doc, start, width = map(np.concatenate, (f_doc, f_start, f_width))
         size = width + window - 1
         at = np.cumsum(size) - size
-        data = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
+        blob = b"".join(r["bytes"] for r in rows)
         order = np.argsort(ids, kind="stable")
+        # A fragment that a smaller document has too is removed as a whole; the others are searched.
+        least: dict[bytes, int] = {}
+        later = np.zeros(len(ids), bool)
+        for i, lo, n, d in zip(order.tolist(), at[order].tolist(), size[order].tolist(), ids[order].tolist()):
+            later[i] = least.setdefault(blob[lo : lo + n], d) < d
+        del least
+        order = order[~later[order]]
         w = width[order]
         total = np.cumsum(w) - w
         inner = np.arange(int(w.sum())) - np.repeat(total, w)
-        place = np.repeat(at[order], w) + inner
         frag = np.repeat(order, w)
-        strings = np.lib.stride_tricks.sliding_window_view(data, window)[place].view(f"S{window}").ravel()
+        strings = np.lib.stride_tricks.sliding_window_view(np.frombuffer(blob, np.uint8), window)[at[frag] + inner].view(f"S{window}").ravel()
         hit = repeated_later(strings, ids[frag])
-        frag, inner = frag[hit], inner[hit]
+        del strings
+        whole = np.flatnonzero(later)
+        inner = np.concatenate([inner[hit], np.arange(int(width[whole].sum())) - np.repeat(np.cumsum(width[whole]) - width[whole], width[whole])])
+        frag = np.concatenate([frag[hit], np.repeat(whole, width[whole])])
         if not len(frag):
             return
         fresh = np.ones(len(frag), bool)
