@@ -67,6 +67,16 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """Only the needed columns, and the whole row as ``_row``: columns with any names pass through untouched."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *needed)
+
+
+def unpacked(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of ``docs`` out of ``_row``, some of them changed."""
+    return [changed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns]
+
+
 def words_of(text: Column) -> Column:
     """All words of a text as an array (empty for none)."""
     bare = F.btrim(text, F.lit(SPACES))

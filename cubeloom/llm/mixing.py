@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, checked, text_or_empty, words_of
+from ._spark import Scratch, checked, packed, text_or_empty, unpacked, words_of
 
 MOST_COPIES = 3
 SEED = 17
@@ -125,10 +125,10 @@ def apply(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOS
     taken = mix(docs, weights, most, seed).groupBy("doc_id", "th").agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_m"))
     taken = Scratch(docs.sparkSession, "mixed").write(taken, "taken")
     side = checked(taken.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "_c", "_m"), 48 * taken.count())
-    rows = docs.join(side, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(text_or_empty()) == F.col("_t")))
+    rows = packed(docs, "doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(text_or_empty()) == F.col("_t")))
     alone = rows.where("_m = 1").withColumn("_n", F.col("_c"))
     # Rows equal in id and text share their copies.
     order = Window.partitionBy("_d", "_t").orderBy(F.lit(0))
     equal = rows.where("_m > 1").withColumn("_n", F.floor(F.col("_c") / F.col("_m")) + (F.row_number().over(order) <= F.col("_c") % F.col("_m")).cast("int"))
     both = alone.unionByName(equal).where("_n > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(docs.columns)
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(unpacked(docs))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import WORD_RE, let, text_or_empty, words_of
+from ._spark import WORD_RE, let, packed, text_or_empty, unpacked, words_of
 
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
@@ -114,7 +114,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, without their bad lines; n_chars, where there is one, follows a changed text."""
-    out = measured(docs).where("kept")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text") == F.col("_clean"), F.col("n_chars")).otherwise(F.char_length("_clean").cast("long")))
-    return out.withColumn("text", F.col("_clean")).select(docs.columns)
+    out = measured(packed(docs, "text")).where("kept")
+    same = F.col("text") == F.col("_clean")
+    n_chars = F.when(same, F.col("_row")["n_chars"]).otherwise(F.char_length("_clean").cast("long")) if "n_chars" in docs.columns else F.lit(None)
+    return out.select(unpacked(docs, text=F.col("_clean"), n_chars=n_chars))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _spans, trigrams
-from ._spark import Scratch, checked, text_or_empty
+from ._spark import Scratch, checked, packed, text_or_empty, unpacked
 
 
 @dataclass(frozen=True)
@@ -103,7 +103,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block: int =
     spark = docs.sparkSession
     queries = {r.kind: trigrams.query(r.plain or r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not True}
-    marked = docs.withColumn("_key", _key()).withColumn("_text", text_or_empty())
+    marked = packed(docs, "doc_id", "text").withColumn("_key", _key()).withColumn("_text", text_or_empty())
     if indexed:
         scratch = Scratch(spark, "secrets")
         found = scratch.write(candidates(docs, indexed, max(1, -(-docs.count() // block))), "candidates")
@@ -118,7 +118,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block: int =
         return F.coalesce(_spans.named(hits, rank, r.kind), F.array().cast(_spans.SPAN))
 
     spans = [verified(rank, r) for rank, r in enumerate(rules)]
-    return marked.withColumn("secrets", F.array_sort(F.concat(*spans))).drop("_key", "_text", "_kinds")
+    others = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() != "secrets"])
+    return marked.select(*unpacked(others), F.array_sort(F.concat(*spans)).alias("secrets"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -138,9 +139,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Null texts stay null; texts without secrets stay as they are.
     """
-    found = find_secrets(docs)
+    found = find_secrets(packed(docs, "doc_id", "text"))
     dirty = F.size("secrets") > 0
-    out = found.withColumn("text", F.when(dirty, _spans.redacted(F.col("text"), F.col("secrets"), mark)).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(dirty, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    text = F.when(dirty, _spans.redacted(F.col("text"), F.col("secrets"), mark)).otherwise(F.col("text"))
+    out = found.select("_row", "text", "secrets", text.alias("_clean"))
+    n_chars = F.when(dirty, F.char_length("_clean").cast("long")).otherwise(F.col("_row")["n_chars"]) if "n_chars" in docs.columns else F.lit(None)
+    return out.select(unpacked(docs, text=F.col("_clean"), n_chars=n_chars))

@@ -72,10 +72,10 @@ WITH base AS (SELECT row_number() OVER () AS r, *, coalesce(text, '') AS t FROM
 parts AS (
   SELECT *, regexp_extract_all(t, '{word}') AS ws, string_split(t, chr(10)) AS ls FROM base),
 lines AS (
-  SELECT *, list_filter(ls, l -> regexp_matches(l, '{word}')) AS full_ls, list_filter(ls, l -> NOT regexp_matches(l, '{word}') OR NOT {bad}) AS kept_ls FROM parts),
+  SELECT *, list_filter(ls, lambda l: regexp_matches(l, '{word}')) AS full_ls, list_filter(ls, lambda l: NOT regexp_matches(l, '{word}') OR NOT {bad}) AS kept_ls FROM parts),
 wins AS (
   SELECT r, i, count(*) OVER (PARTITION BY r, w) AS c FROM (
-    SELECT r, unnest(range(1, len(ws) - {k - 2})) AS i, unnest(list_transform(range(1, len(ws) - {k - 2}), i -> list_slice(ws, i, i + {k - 1}))) AS w FROM parts WHERE len(ws) >= {k})),
+    SELECT r, unnest(range(1, len(ws) - {k - 2})) AS i, unnest(list_transform(range(1, len(ws) - {k - 2}), lambda i: list_slice(ws, i, i + {k - 1}))) AS w FROM parts WHERE len(ws) >= {k})),
 cover AS (
   SELECT r, sum(least({k}, coalesce(nxt - i, {k}))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM wins WHERE c > 1) GROUP BY r),
 counted AS (
