@@ -8,11 +8,12 @@
    in most bands is tried first.
 4. A tie is checked on the signatures, then confirmed on the full sets of both texts.
 5. Confirmed links are closed by alternating large-star and small-star.
-6. Buckets in which several components still meet are reopened: all signatures of different
-   components are compared there in blocks, and similar ones confirmed on the full sets, so
-   that a link missed by step 3 is found.  At most ``k`` of the most similar partners per
-   class, component and bucket are tried first; as long as that bound cut something off,
-   the step is repeated with a larger one.
+6. Buckets in which several components still meet are reopened: members of different
+   components are compared there in blocks on fine sketches (the least digest of each of
+   ``BINS`` bins of the set), and similar ones confirmed on the full sets, so that a link
+   missed by step 3 is found.  A pair is tried in the first band that both share, and at most
+   the ``k`` most similar partners of a class in a bucket at first; as long as that bound cut
+   something off, the step is repeated on what is still apart with a larger one.
 
 Two texts without a common bucket are not compared; at similarity 0.75 that has the
 probability (1 - 0.75**4)**32 = 5e-6.
@@ -41,6 +42,9 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Share of equal minima below which a pair isn't confirmed on the full sets (4.5 deviations under 0.75).
 LEAST_ESTIMATE = 0.58
+#: Fine sketches: bins, and the share of equal ones below which a pair isn't confirmed (5 deviations under 0.75).
+BINS = 1024
+LEAST_FINE = 0.68
 #: Members of a bucket compared in one block, and members of a leader confirmed in one group.
 BLOCK = 2048
 CHUNK = 256
@@ -71,6 +75,16 @@ def shingle_sets(col: pa.Array) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def _fine(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set one byte per bin: 0 if empty, else a mark of the bin's least digest."""
+    out = np.zeros((len(sets), BINS), np.uint8)
+    for i, s in enumerate(sets):
+        if len(s):
+            at, first = np.unique(s >> np.uint64(54), return_index=True)
+            out[i, at.astype(np.int64)] = _text.mix(s[first]) % np.uint64(255) + np.uint64(1)
+    return out
+
+
 def _digest(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each set two digests of the whole set and the minima (n x MINIMA uint32)."""
     n = len(sets)
@@ -105,8 +119,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = list(shingle_sets(b.column(1)))
             one, two, minima = _digest(sets)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _fixed(minima)],
-                names=["doc_id", "n", "f1", "f2", "sig"],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), _fixed(minima), _fixed(_fine(sets))],
+                names=["doc_id", "n", "f1", "f2", "sig", "fine"],
             )
 
 
@@ -123,6 +137,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(ROWS):
                 key = _text.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
             ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)
+            # The band itself rides in a key's low bits.
+            key = (key & ~np.uint64(BANDS - 1)) | np.arange(BANDS, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(key.ravel().view(np.int64))], names=["rep", "key"])
 
 
@@ -172,74 +188,89 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _reopened(k: int):
-    """For blocks of an open bucket: similar pairs of different components, the k most similar for each class and other component."""
+    """For blocks of an open bucket: the k most similar members of other components for each class."""
 
     def run(table: pa.Table) -> pa.Table:
-        reps, comps = table.column("rep").to_numpy(), table.column("component").to_numpy()
-        part = table.column("part").to_numpy()
-        sig = _signatures(table.column("sig").combine_chunks() if isinstance(table.column("sig"), pa.ChunkedArray) else table.column("sig"))
-        i_no, j_no = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(part == i_no), np.flatnonzero(part == j_no)
+        reps, comps, part = (table.column(c).to_numpy() for c in ("rep", "component", "part"))
+        bands = _signatures(table.column("sig")).reshape(-1, BANDS, ROWS)
+        fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, BINS)
+        i, j, key = (table.column(c)[0].as_py() for c in ("i", "j", "key"))
+        band = key & (BANDS - 1)
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
         a, b, cut = [], [], False
         for x in left:
-            other = right[(comps[right] != comps[x]) & ((reps[right] < reps[x]) | (i_no != j_no))]
+            other = right[comps[right] != comps[x]]
             if not len(other):
                 continue
-            est = (sig[other] == sig[x]).mean(axis=1)
-            other, est = other[est >= LEAST_ESTIMATE], est[est >= LEAST_ESTIMATE]
-            order = np.lexsort((reps[other], -est))
-            rank: dict[int, int] = {}
-            for o in other[order]:
-                n = rank[comps[o]] = rank.get(comps[o], 0) + 1
-                if n > k:
-                    cut = True
-                    continue
-                a.append(max(reps[x], reps[o]))
-                b.append(min(reps[x], reps[o]))
-        if cut:
-            a.append(-1)
-            b.append(None)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            full = (fine[other] | fine[x]) > 0
+            est = ((fine[other] == fine[x]) & full).sum(axis=1) / full.sum(axis=1)
+            near = est >= LEAST_FINE
+            other, est = other[near], est[near]
+            if band:
+                earlier = (bands[other, :band] == bands[x, :band]).all(axis=2).any(axis=1)
+                other, est = other[~earlier], est[~earlier]
+            best = other[np.lexsort((reps[other], -est))]
+            cut |= len(best) > k
+            a.append(np.maximum(reps[best[:k]], reps[x]))
+            b.append(np.minimum(reps[best[:k]], reps[x]))
+        pairs = np.unique(np.stack([np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])], axis=1), axis=0)
+        ends = ([-1], [None]) if cut else ([], [])
+        return pa.table({"a": pa.array([*pairs[:, 0].tolist(), *ends[0]], pa.int64()), "b": pa.array([*pairs[:, 1].tolist(), *ends[1]], pa.int64())})
 
     return run
 
 
-def _open_pairs(bands: DataFrame, sigs: DataFrame, comps: DataFrame, k: int) -> DataFrame:
-    """Candidate pairs (a, b) of buckets in which components still meet; a row with null b says that k cut something off."""
-    placed = bands.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+def _open_buckets(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, rep, component, m) of the buckets (rep, key) in which components still meet; m is the bucket's size."""
+    placed = buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     still = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
+    return placed.join(still.select("key", "m"), "key").select("key", "rep", "component", "m")
+
+
+def _open_pairs(open_: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """Candidate pairs (a, b) of open buckets; a row with null b says that k cut something off."""
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = placed.join(still.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    rows = open_.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # A member of part p goes to the blocks (i, j), i <= j, with p = i or p = j.
-    i_s = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
-    rows = rows.select("key", "rep", "component", "part", F.explode(i_s).alias("block")).select("key", "rep", "component", "part", "block.i", "block.j")
-    rows = rows.join(sigs, "rep")
-    return rows.groupBy("key", "i", "j").applyInArrow(_reopened(k), "a long, b long").distinct()
+    blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
+    rows = rows.select("key", "rep", "component", "part", F.explode(blocks).alias("block")).select("key", "rep", "component", "part", "block.i", "block.j")
+    ids = rows.select("rep").distinct()
+    sketches = classes.select("rep", "sig", "fine").join(checked(ids, 16 * ids.count()), "rep", "left_semi")
+    return rows.join(sketches, "rep").groupBy("key", "i", "j").applyInArrow(_reopened(k), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    sketch = scratch.write(docs.select("doc_id", "text").mapInArrow(_sketches, "doc_id long, n long, f1 long, f2 long, sig binary"), "sketch")
+    sketch = scratch.write(docs.select("doc_id", "text").mapInArrow(_sketches, "doc_id long, n long, f1 long, f2 long, sig binary, fine binary"), "sketch")
     live = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     least = sketch.where(live).groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    known = sketch.where(live).join(least, ["f1", "f2"]).select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig"))
-    members = scratch.write(known.union(sketch.where(~live).select("doc_id", "n", F.lit(None).cast("long"), F.lit(None).cast("binary"))), "members")
-    scratch.drop(sketch)
-    sigs = members.where("sig is not null").select("rep", "sig")
-    bands = scratch.write(sigs.mapInArrow(_bands, "rep long, key long"), "bands")
+    members = scratch.write(sketch.select("doc_id", "n", *[F.when(live, F.col(c)).alias(c) for c in ("f1", "f2")]).join(least, ["f1", "f2"], "left").select("doc_id", "n", "rep"), "members")
+    # Sketches stay where they were written; only ids move to pick out those of classes.
+    reps = scratch.write(members.where("doc_id = rep").select("rep").distinct(), "reps")
+    classes = sketch.where(live).withColumnRenamed("doc_id", "rep").join(checked(reps, 16 * reps.count()), "rep", "left_semi")
+    bands = classes.select("rep", "sig").mapInArrow(_bands, "rep long, key long")
     leads = bands.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("hi")).where("lead <> hi").drop("hi")
-    met = bands.join(leads, "key").where("rep <> lead").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("n"))
+    shared = scratch.write(bands.join(leads, "key").select("rep", "key", "lead"), "shared")
+    met = shared.where("rep <> lead").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("n"))
     best = met.groupBy("rep").agg(F.max(F.struct("n", (-F.col("lead")).alias("m"))).alias("x")).select(F.col("rep").alias("a"), (-F.col("x.m")).alias("b"))
+    best = scratch.write(best, "best")
+    named = best.select(F.col("a").alias("rep")).union(best.select("b")).distinct()
+    sigs = scratch.write(classes.select("rep", "sig").join(checked(named, 32 * best.count()), "rep", "left_semi"), "signatures")
     sig_of = lambda c: sigs.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"))
     similar = best.join(sig_of("a"), "a").join(sig_of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_similar, "a long, b long")
     tried = scratch.write(similar.distinct(), "stars")
+    scratch.drop(best, sigs)
     links = scratch.write(confirmed(docs, tried), "links")
     comps = scratch.write(connected_components(links, scratch), "components")
-    k = 8
+    k = 4
+    buckets = shared.select("rep", "key")
     while True:
-        found = scratch.write(_open_pairs(bands, sigs, comps, k), "open")
+        open_ = scratch.write(_open_buckets(buckets, comps), "open")
+        if not open_.limit(1).count():
+            break
+        found = scratch.write(_open_pairs(open_, classes, k), "pairs")
         more = scratch.write(found.where("b is not null").join(tried, ["a", "b"], "left_anti"), "more")
         cut = bool(found.where("b is null").limit(1).count())
         if more.limit(1).count():
@@ -248,8 +279,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             comps = scratch.write(connected_components(links, scratch), "components")
         if not cut:
             break
+        buckets = open_.select("rep", "key")
         k *= 16
-    scratch.drop(bands)
+    scratch.drop(sketch, shared)
     named = members.select("doc_id", "n", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
