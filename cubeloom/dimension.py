@@ -47,6 +47,7 @@ class Dimension:
         self._reindex()
 
     def _reindex(self) -> None:
+        self._next = max(self.members, default=-1) + 1
         self._by_name = {m.name: i for i, m in self.members.items()}
         self._by_alias = {v: i for (i, a), v in self.values.items() if self.attributes.get(a) == ALIAS}
         self._place = {i: n for n, i in enumerate(self.order)}
@@ -70,7 +71,8 @@ class Dimension:
             if old.kind != kind:
                 raise InvalidEdit(f"{name} is already a {old.kind} member of {self.name}")
             return old.id
-        new = max(self.members, default=-1) + 1
+        new = self._next
+        self._next += 1
         self.members[new] = Member(new, name, kind)
         self.order.insert(len(self.order) if at is None else at, new)
         self._by_name[name] = new
