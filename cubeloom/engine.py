@@ -165,6 +165,25 @@ class Engine:
         c = self.cube(cube)
         return self.publish(writes.set_string(c, c.coordinate(at), text))
 
+    def read(self, cube: str, *tokens: str) -> str:
+        """One value as text, its coordinate given as ``Dimension=Member`` tokens in any order."""
+        at = {}
+        for t in tokens:
+            dimension, sign, member = t.partition("=")
+            if not sign or dimension.strip() in at:
+                raise CubeError(f"not a Dimension=Member token, or a dimension named twice: {t}")
+            at[dimension.strip()] = member.strip()
+        row = self.read_cells(cube, [at]).first()
+        return row["s"] if row["s"] is not None else fixed.format(row["v"])
+
+    def write_grid(self, cube: str, grid: Sequence[Sequence[str]], base: int | None = None) -> Cube:
+        """One batch from a table: a header of all dimensions and ``Value``, then rows of names; blank rows are skipped."""
+        head = [h.strip() for h in grid[0]]
+        if "Value" not in head or set(head) - {"Value"} != {d.name for d in self.cube(cube).dimensions}:
+            raise CubeError("the header names every dimension and Value")
+        rows = [dict(zip(head, map(str.strip, r))) for r in grid[1:] if any(c.strip() for c in r)]
+        return self.write_cells(cube, [({k: v for k, v in r.items() if k != "Value"}, r["Value"]) for r in rows], base)
+
     def spread(self, cube: str, at: dict[str, str], value: str, method: str = "equal", sandbox: str | None = None) -> Cube:
         c = self.cube(cube)
         target = c.coordinate(at)

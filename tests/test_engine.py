@@ -309,3 +309,34 @@ def test_consolidated_members_by_flow(engine):
     assert engine.cube("Sales").dimension("Region").kind(engine.cube("Sales").dimension("Region").exact("West Coast")) == CONSOLIDATED
     assert v(engine, {"Region": "West Coast", "Measure": "Sales"}) == scaled(100)
     assert isinstance(engine.cube("Sales").dimension("Region"), Dimension)
+
+
+def test_worksheet_reads_and_writes(engine):
+    assert engine.read("Sales", "Measure=Sales", "Region = Total") == "300"
+    engine.write_grid("Sales", [["Region", "Measure", "Value"], ["North", "Sales", "7.5"], ["", " ", ""], ["East", "Sales", "1"]])
+    assert engine.read("Sales", "Measure=Sales", "Region=Total") == "208.5"
+    for bad in (["Region"], ["Region=North", "Region=South"]):
+        with pytest.raises(CubeError):
+            engine.read("Sales", *bad)
+    with pytest.raises(CubeError):
+        engine.write_grid("Sales", [["Region", "Value"], ["North", "1"]])
+
+
+def test_connections(spark, tmp_path):
+    from cubeloom.sources import connections as cn
+
+    (tmp_path / "f.json").write_text('[{"a": 1, "b": "x"}, {"a": null, "b": "y"}]')
+    known = {"echo": cn.Connection("command", ("printf", "a,b\\n1,2"), timeout=5), "web": cn.Connection("http", url="http://h/x", auth="basic", user="u", secret="s"), "file": cn.Connection("json", url=f"file://{tmp_path}/f.json")}
+    local = {"mine": cn.Connection("inline", text='{"r": [{"k": "v"}]}', format="json", json_path="r")}
+    got = cn.inputs(spark, ["echo", "local.mine", "file"], known, local, may=cn.Permissions(commands=True))
+    assert [f.count() for f in got.values()] == [1, 1, 2] and [tuple(r) for r in got["file"].orderBy("b").collect()] == [("1", "x"), ("", "y")]
+    with pytest.raises(Denied):
+        cn.rows(spark, known["echo"])
+    with pytest.raises(Denied):
+        cn.rows(spark, known["web"], cn.Permissions(secrets={"s": "p"}))
+    with pytest.raises(UnknownName):
+        cn.inputs(spark, ["none"], known)
+    assert cn.authorization(known["web"], {"s": "p"}) == {"Authorization": "Basic dTpw"}
+    assert list(cn.inputs(spark, ["echo"], known, csv="a\n1")) == ["echo"]
+    text = cn.write_text(known, {"j": ("ann", 60000, True)})
+    assert cn.read_text(text) == (known, {"j": ("ann", 60000, True)}) and cn.write_text(*cn.read_text(text)) == text
