@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .dimension import LEAF, STRING, Dimension
 from .errors import CubeError, InvalidWrite, UnknownName
 from .functions import fixed
+from .local import local_frame
 
 
 def columns(n: int) -> list[str]:
@@ -39,7 +40,7 @@ class Cube:
         if not names or len(set(names)) < len(names):
             raise CubeError("a cube needs dimensions with different names")
         n = len(names)
-        return cls(name, tuple(dimensions), spark.createDataFrame([], cell_schema(n)), spark.createDataFrame([], cell_schema(n, "s string")))
+        return cls(name, tuple(dimensions), local_frame(spark, [], cell_schema(n)), local_frame(spark, [], cell_schema(n, "s string")))
 
     @classmethod
     def load(cls, spark: SparkSession, name: str, dimensions: Sequence[Dimension], facts: DataFrame, members: Sequence[str], value: str = "v") -> Cube:
@@ -115,27 +116,27 @@ def small(frame: DataFrame, rows: int) -> DataFrame:
 
 def member_frame(spark: SparkSession, d: Dimension) -> DataFrame:
     """(idx, id, name, kind, pinned) in visible order."""
-    return spark.createDataFrame([(i, m.id, m.name, m.kind, m.pinned) for i, m in enumerate(d)], "idx int, id int, name string, kind string, pinned boolean")
+    return local_frame(spark, [(i, m.id, m.name, m.kind, m.pinned) for i, m in enumerate(d)], "idx int, id int, name string, kind string, pinned boolean")
 
 
 def edge_frame(spark: SparkSession, d: Dimension) -> DataFrame:
     """(parent, child, weight, edge_ord), by parent and child."""
     rows = [(p, c, w, n) for n, ((p, c), w) in enumerate(d.edges.items())]
     rows.sort(key=lambda r: (d.place(r[0]), d.place(r[1])))
-    return spark.createDataFrame(rows, "parent int, child int, weight bigint, edge_ord int")
+    return local_frame(spark, rows, "parent int, child int, weight bigint, edge_ord int")
 
 
 def attribute_frame(spark: SparkSession, d: Dimension) -> DataFrame:
     """(id, attr, s, n), by member and attribute."""
     order = list(d.attributes)
     rows = sorted(((m, a, None if isinstance(v, int) else v, v if isinstance(v, int) else None) for (m, a), v in d.values.items()), key=lambda r: (d.place(r[0]), order.index(r[1])))
-    return spark.createDataFrame(rows, "id int, attr string, s string, n bigint")
+    return local_frame(spark, rows, "id int, attr string, s string, n bigint")
 
 
 def closure_frame(spark: SparkSession, d: Dimension, ancestors: Sequence[int]) -> tuple[DataFrame, int]:
     """(ancestor, leaf, weight) of the requested members, and its row count."""
     rows = d.closure(ancestors)
-    return spark.createDataFrame(rows, "ancestor int, leaf int, weight bigint"), len(rows)
+    return local_frame(spark, rows, "ancestor int, leaf int, weight bigint"), len(rows)
 
 
 def with_names(cube: Cube, frame: DataFrame) -> DataFrame:

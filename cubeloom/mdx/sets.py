@@ -14,6 +14,7 @@ from ..cube import attribute_frame, member_frame
 from ..dimension import NUMERIC, Dimension
 from ..errors import CubeError, TypeMismatch, UnknownName, Unsupported
 from ..functions import fixed
+from ..local import local_frame
 from ..rules.compiled import compare
 from . import language as lang
 
@@ -94,7 +95,7 @@ def frame(spark: SparkSession, d: Dimension, x: object) -> DataFrame:
         members(d, base)
         out = every.select(F.col("idx").cast("bigint").alias("pos"), "id", "name", "kind")
     else:
-        listed = spark.createDataFrame(list(enumerate(members(d, base))), "pos bigint, id int")
+        listed = local_frame(spark, list(enumerate(members(d, base))), "pos bigint, id int")
         out = listed.join(F.broadcast(every.drop("idx", "pinned")), "id").select("pos", "id", "name", "kind")
     held = attribute_frame(spark, d)
     for step in reversed(steps):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dimension import Dimension
+from ..local import local_frame
 
 
 def matcher(pattern: str) -> str:
@@ -38,7 +39,7 @@ def filtered(members: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 
 def selection(members: DataFrame, ids: Iterable[int], keep: bool = True) -> DataFrame:
     """Only, or all but, some members."""
-    chosen = members.sparkSession.createDataFrame([(i,) for i in ids], "id int")
+    chosen = local_frame(members.sparkSession, [(i,) for i in ids], "id int")
     return members.join(F.broadcast(chosen), "id", "left_semi" if keep else "left_anti")
 
 

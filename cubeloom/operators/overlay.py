@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..cube import Cube, cell_schema
 from ..errors import UnknownName
+from ..local import local_frame
 from .writes import last_writes, write_cells
 
 
 def create(cube: Cube, name: str) -> Cube:
-    return cube if name in cube.sandboxes else replace(cube, sandboxes={**cube.sandboxes, name: cube.spark.createDataFrame([], cell_schema(cube.rank))})
+    return cube if name in cube.sandboxes else replace(cube, sandboxes={**cube.sandboxes, name: local_frame(cube.spark, [], cell_schema(cube.rank))})
 
 
 def overrides(cube: Cube, name: str) -> DataFrame:
@@ -36,7 +37,7 @@ def write(cube: Cube, name: str, cells: Iterable[tuple[Sequence[int], int]]) ->
     cells = [(tuple(c), v) for c, v in cells]
     for c, _ in cells:
         cube.check_write(c)
-    fresh = cube.spark.createDataFrame([(*c, v, i) for i, (c, v) in enumerate(cells)], cell_schema(cube.rank, "v bigint, ord int"))
+    fresh = local_frame(cube.spark, [(*c, v, i) for i, (c, v) in enumerate(cells)], cell_schema(cube.rank, "v bigint, ord int"))
     kept = overrides(create(cube, name), name).withColumn("ord", F.lit(-1))
     return replace(cube, sandboxes={**create(cube, name).sandboxes, name: last_writes(kept.unionByName(fresh), cube.keys)})
 
@@ -50,7 +51,7 @@ def flags(cube: Cube, name: str, coordinates: DataFrame) -> DataFrame:
 def commit(cube: Cube, name: str) -> Cube:
     """Merge the overrides into the base and empty the sandbox."""
     out = write_cells(cube, overrides(cube, name).withColumn("ord", F.lit(0)))
-    return replace(out, sandboxes={**cube.sandboxes, name: cube.spark.createDataFrame([], cell_schema(cube.rank))})
+    return replace(out, sandboxes={**cube.sandboxes, name: local_frame(cube.spark, [], cell_schema(cube.rank))})
 
 
 def discard(cube: Cube, name: str) -> Cube:

@@ -11,6 +11,8 @@ from ..cube import Cube, closure_frame, small
 from ..dimension import Dimension
 from ..functions import fixed
 
+#: What can go wrong in a cell, in the order in which it is told.
+ERRORS = ("cycle", "division by zero", "overflow")
 #: Rows per fact that closures may add before sums are taken in between.
 MOST_FANOUT = 8
 
@@ -27,7 +29,9 @@ def consolidate(leaves: DataFrame, dimensions: Sequence[Dimension], region: Sequ
     spark = leaves.sparkSession
     keys = [f"d{i}" for i in range(len(dimensions))]
     has_err = "err" in leaves.columns
-    now = leaves.select(*keys, F.col("v").cast(fixed.WIDE).alias("v"), *(["err"] if has_err else []))
+    # Errors travel as numbers: sums of numbers hash, a least text would be sorted for.
+    code = F.array_position(F.array(*map(F.lit, ERRORS)), F.coalesce("err", F.lit(""))).cast("int") if has_err else None
+    now = leaves.select(*keys, F.col("v").cast(fixed.WIDE).alias("v"), *([F.when(code > 0, code).alias("err")] if has_err else []))
     closures = []
     for i, (d, members) in enumerate(zip(dimensions, region)):
         frame, n = closure_frame(spark, d, members)
@@ -42,7 +46,8 @@ def consolidate(leaves: DataFrame, dimensions: Sequence[Dimension], region: Sequ
         if fanout > MOST_FANOUT and step < len(closures) - 1:
             now, fanout = _summed(now, keys, has_err), 1.0
     out = _summed(now, keys, has_err)
-    err = F.coalesce(F.col("err"), F.when(~fixed.fits(F.col("v")), F.lit("overflow"))) if has_err else F.when(~fixed.fits(F.col("v")), F.lit("overflow"))
+    told = F.get(F.array(*map(F.lit, ERRORS)), F.col("err") - 1) if has_err else None
+    err = F.coalesce(told, F.when(~fixed.fits(F.col("v")), F.lit("overflow"))) if has_err else F.when(~fixed.fits(F.col("v")), F.lit("overflow"))
     return out.select(*keys, fixed.narrowed(F.col("v")).alias("v"), err.alias("err"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..cube import Cube, cell_schema
 from ..errors import CubeError, LimitExceeded
 from ..functions import fixed
+from ..local import local_frame
 
 MOST_LEAVES = 200_000
 METHODS = ("equal", "proportional", "repeat", "clear")
@@ -31,10 +32,10 @@ def spread_leaves(cube: Cube, target: Sequence[int], most: int = MOST_LEAVES) ->
     if size > most:
         raise LimitExceeded(f"{size} leaves, at most {most}")
     if not size:
-        return cube.spark.createDataFrame([], cell_schema(cube.rank, "ord bigint"))
+        return local_frame(cube.spark, [], cell_schema(cube.rank, "ord bigint"))
     out = None
     for i, leaves in enumerate(slices):
-        one = cube.spark.createDataFrame([(m, n) for n, m in enumerate(leaves)], f"d{i} int, o{i} bigint")
+        one = local_frame(cube.spark, [(m, n) for n, m in enumerate(leaves)], f"d{i} int, o{i} bigint")
         out = one if out is None else out.crossJoin(F.broadcast(one))
     order = F.lit(0).cast("bigint")
     for i, leaves in enumerate(slices):

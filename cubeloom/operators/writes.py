@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..cube import Cube, cell_schema
 from ..dimension import LEAF
 from ..errors import Conflict, InvalidWrite
+from ..local import local_frame
 
 
 def last_writes(writes: DataFrame, keys: Sequence[str], value: str = "v", order: str = "ord") -> DataFrame:
@@ -46,7 +47,7 @@ def write_cells(cube: Cube, writes: DataFrame, base: int | None = None, check: b
 
 def batch(cube: Cube, cells: Iterable[tuple[Sequence[int], int]]) -> DataFrame:
     """A batch frame of listed writes in order."""
-    return cube.spark.createDataFrame([(*c, v, i) for i, (c, v) in enumerate(cells)], cell_schema(cube.rank, "v bigint, ord int"))
+    return local_frame(cube.spark, [(*c, v, i) for i, (c, v) in enumerate(cells)], cell_schema(cube.rank, "v bigint, ord int"))
 
 
 def set_leaf(cube: Cube, coordinate: Sequence[int], value: int) -> Cube:
@@ -57,7 +58,7 @@ def set_leaf(cube: Cube, coordinate: Sequence[int], value: int) -> Cube:
 def set_string(cube: Cube, coordinate: Sequence[int], text: str) -> Cube:
     """Write a string cell; an empty text deletes it."""
     cube.check_write(coordinate, text=True)
-    fresh = cube.spark.createDataFrame([(*coordinate, text)], cell_schema(cube.rank, "s string"))
+    fresh = local_frame(cube.spark, [(*coordinate, text)], cell_schema(cube.rank, "s string"))
     kept = cube.strings.join(fresh.select(cube.keys), cube.keys, "left_anti")
     return replace(cube, strings=kept.unionByName(fresh).where("s <> ''"), version=cube.version + 1)
 
@@ -90,7 +91,7 @@ def bulk_read(cube: Cube, names: Iterable[dict[str, str]], values: DataFrame | N
         kinds = [d.kind(m) for d, m in zip(cube.dimensions, at)]
         kind = "consolidated" if "consolidated" in kinds else "string" if "string" in kinds else "numeric"
         rows.append((n, *at, kind, kind != "consolidated"))
-    asked = cube.spark.createDataFrame(rows, "ord int, " + cell_schema(cube.rank, "kind string, editable boolean"))
+    asked = local_frame(cube.spark, rows, "ord int, " + cell_schema(cube.rank, "kind string, editable boolean"))
     out = asked.join((values if values is not None else cube.cells).select(*cube.keys, "v"), cube.keys, "left").join(cube.strings, cube.keys, "left")
     if sandbox is not None:
         marks = cube.sandboxes[sandbox].select(*cube.keys, F.lit(True).alias("_m"))

@@ -24,6 +24,7 @@ from ..cube import Cube, cell_schema, small
 from ..dimension import LEAF
 from ..errors import LimitExceeded
 from ..functions import fixed
+from ..local import local_frame
 from ..operators import overlay, rollup
 from ..operators.masks import Mask
 from ..rules import language as lang
@@ -76,10 +77,8 @@ class Evaluator:
         key = (cube, region)
         if not above and key in self._memo:
             return self._memo[key]
-        parts = [self._nothing(cube)]
-        for rule, part in self._split(cube, region):
-            parts.append(self._rule(cube, rule, part, above) if rule is not None else self._plain(cube, part, above))
-        out = parts[0]
+        parts = [self._rule(cube, rule, part, above) if rule is not None else self._plain(cube, part, above) for rule, part in self._split(cube, region)]
+        out = parts[0] if parts else self._nothing(cube)
         for p in parts[1:]:
             out = out.unionByName(p)
         if not above:
@@ -88,7 +87,7 @@ class Evaluator:
 
     def _nothing(self, cube: str) -> DataFrame:
         c = self.cubes[cube]
-        return c.spark.createDataFrame([], cell_schema(c.rank, "v bigint, err string"))
+        return local_frame(c.spark, [], cell_schema(c.rank, "v bigint, err string"))
 
     def _split(self, cube: str, region: Region) -> Iterator[tuple[int | None, Region]]:
         """Disjoint parts with the first rule that matches them, None for no rule; denied parts are left out."""
@@ -153,7 +152,7 @@ class Evaluator:
             d = c.dimensions[a.position]
             held = [(m, v) for m in region[a.position] if isinstance(v := d.attribute(m, a.attribute), int)]
             name = attributes[a] = f"a{len(attributes)}"
-            frame = c.spark.createDataFrame(held, f"d{a.position} int, {name} bigint")
+            frame = local_frame(c.spark, held, f"d{a.position} int, {name} bigint")
             rows = rows.join(small(frame, len(held)), f"d{a.position}", "left")
         v, err = _formula(formula, names, attributes)
         out = rows.select(*c.keys, F.when(err.isNull(), v).alias("v"), err.alias("err"))
@@ -164,7 +163,7 @@ class Evaluator:
             raise LimitExceeded(f"{size(region)} rule cells, at most {MOST_DENSE}")
         out = None
         for i, s in enumerate(region):
-            one = c.spark.createDataFrame([(m,) for m in sorted(s)], f"d{i} int")
+            one = local_frame(c.spark, [(m,) for m in sorted(s)], f"d{i} int")
             out = one if out is None else out.crossJoin(small(one, len(s)))
         return out
 
@@ -177,17 +176,17 @@ class Evaluator:
             one = frame.select(*[f"d{i}" for i, p in enumerate(cell.pins) if p is None])
             for i, p in enumerate(cell.pins):
                 if p is not None:
-                    one = one.crossJoin(small(c.spark.createDataFrame([(m,) for m in sorted(region[i])], f"d{i} int"), len(region[i])))
+                    one = one.crossJoin(small(local_frame(c.spark, [(m,) for m in sorted(region[i])], f"d{i} int"), len(region[i])))
             one = one.select(c.keys)
             out = one if out is None else out.unionByName(one)
-        return out.distinct() if out is not None else c.spark.createDataFrame([], cell_schema(c.rank, "v bigint")).select(c.keys)
+        return out.distinct() if out is not None else local_frame(c.spark, [], cell_schema(c.rank, "v bigint")).select(c.keys)
 
 
 def _within(rows: DataFrame, column: str, members: frozenset[int]) -> DataFrame:
     """Rows whose member is in a set: a pushed filter if short, else a semi-join with a small frame."""
     if len(members) <= 500:
         return rows.where(F.col(column).isin(sorted(members)))
-    frame = rows.sparkSession.createDataFrame([(m,) for m in sorted(members)], f"{column} int")
+    frame = local_frame(rows.sparkSession, [(m,) for m in sorted(members)], f"{column} int")
     return rows.join(small(frame, len(members)), column, "left_semi")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..cube import Cube, small
 from ..errors import CellError, CubeError, Denied
 from ..functions import fixed
+from ..local import local_frame
 from ..mdx import language as mdx
 from ..mdx import sets
 from ..operators.masks import Mask
@@ -86,7 +87,7 @@ def _axis_frame(cube: Cube, side: list[tuple[int, list[int]]], ordinal: str) ->
     spark, n = cube.spark, 1
     out, order = None, F.lit(0).cast("bigint")
     for at, ids in side:
-        one = spark.createDataFrame(list(zip(ids, range(len(ids)))), f"d{at} int, _o{at} bigint")
+        one = local_frame(spark, list(zip(ids, range(len(ids)))), f"d{at} int, _o{at} bigint")
         out = one if out is None else out.crossJoin(small(one, len(ids)))
         order, n = order * len(ids) + F.col(f"_o{at}"), n * len(ids)
     if out is None:
@@ -113,7 +114,7 @@ def grid(cube: Cube, view: View, evaluator: Evaluator) -> DataFrame:
     left, n = _axis_frame(cube, rows, "r")
     right, m = _axis_frame(cube, columns, "c")
     if not n * m:
-        return cube.spark.createDataFrame([], "r bigint, c bigint, v bigint, err string")
+        return local_frame(cube.spark, [], "r bigint, c bigint, v bigint, err string")
     values = evaluator.values(cube.name, region)
     on = [f"d{at}" for at, _ in (*rows, *columns)]
     dense = left.crossJoin(small(right, m))
@@ -152,7 +153,7 @@ def execute(cubes: Mapping[str, Cube], name: str, view: View, sandbox: str | Non
     out = cells
     for axis, live, n in (("r", live_r, len(row_names)), ("c", live_c, len(column_names))):
         if len(live) < n:
-            new = spark.createDataFrame(list(zip(live, range(len(live)))), f"{axis} bigint, _n bigint")
+            new = local_frame(spark, list(zip(live, range(len(live)))), f"{axis} bigint, _n bigint")
             out = out.join(small(new, len(live)), axis).withColumn(axis, F.col("_n")).drop("_n")
     return Cellset([row_names[i] for i in live_r], [column_names[i] for i in live_c], out.select("r", "c", "v"), len(row_names) - len(live_r), len(column_names) - len(live_c))
 
@@ -196,7 +197,7 @@ def long_form(cube: Cube, view: View, cells: DataFrame) -> DataFrame:
     out = cells.join(F.broadcast(left), "r").join(F.broadcast(right), "c")
     for at, _ in (*rows, *columns):
         d = cube.dimensions[at]
-        names = cube.spark.createDataFrame([(m.id, m.name) for m in d], f"d{at} int, `{d.name}` string")
+        names = local_frame(cube.spark, [(m.id, m.name) for m in d], f"d{at} int, `{d.name}` string")
         out = out.join(small(names, len(d)), f"d{at}")
     return out.select("r", "c", *[cube.dimensions[at].name for at, _ in (*rows, *columns)], "v")
 

@@ -15,6 +15,7 @@ from . import examples as ex
 from .cube import Cube, attribute_frame, edge_frame, member_frame, with_names
 from .flow import import_rows
 from .functions import fixed
+from .local import local_frame
 from .mdx import language as mdx
 from .mdx import sets
 from .operators import masks, overlay, rollup, spread, writes
@@ -120,7 +121,7 @@ def _notes(spark, sf_dir) -> Cube:
     geo = ex.geo(spark, sf_dir)
     rows = [(x.id, comment, f"note {k // fixed.SCALE}") for x in geo if isinstance(k := geo.attribute(x.id, "Key"), int) and k // fixed.SCALE % 3 == 0]
     cube = Cube.empty(spark, "Notes", [geo, m])
-    return replace(cube, strings=spark.createDataFrame(rows, "d0 int, d1 int, s string"))
+    return replace(cube, strings=local_frame(spark, rows, "d0 int, d1 int, s string"))
 
 
 @query("string_point_read", "SELECT n_name AS geo, 'note ' || CAST(n_nationkey AS VARCHAR) AS s FROM nation WHERE n_nationkey = 3")
@@ -472,7 +473,7 @@ def _boxed(spark, sf_dir) -> Cube:
     d = cube.dimension("Geo")
     metric = cube.dimension("Metric").exact("Target")
     rows = [(m.id, metric, 0 if k // fixed.SCALE % 4 == 0 else k // fixed.SCALE * 1000 * fixed.SCALE) for m in d if isinstance(k := d.attribute(m.id, "Key"), int) and k // fixed.SCALE % 2 == 0]
-    return replace(cube, sandboxes={"plan": spark.createDataFrame(rows, "d0 int, d1 int, v bigint")})
+    return replace(cube, sandboxes={"plan": local_frame(spark, rows, "d0 int, d1 int, v bigint")})
 
 
 _BOX = f"WITH {_BASIS}, o AS (SELECT geo, ord, CASE WHEN ord % 4 = 0 THEN 0 WHEN ord % 2 = 0 THEN ord * 10000000 ELSE w END AS v FROM b)"
@@ -501,7 +502,7 @@ def sandbox_commit(spark, sf_dir):
 def sandbox_flags(spark, sf_dir):
     cube = _boxed(spark, sf_dir)
     metric = cube.dimension("Metric").exact("Target")
-    asked = spark.createDataFrame([(m, metric) for m in all_of(cube, "Geo", ["leaf"])], "d0 int, d1 int")
+    asked = local_frame(spark, [(m, metric) for m in all_of(cube, "Geo", ["leaf"])], "d0 int, d1 int")
     return with_names(cube, overlay.flags(cube, "plan", asked)).select(F.col("Geo").alias("geo"), "overlaid")
 
 
@@ -516,7 +517,7 @@ def _mask(cube: Cube) -> masks.Mask:
 def mask_axis(spark, sf_dir):
     cube = ex.targets(spark, sf_dir)
     gone = _mask(cube).tainted(0, cube.dimensions[0])
-    denied = spark.createDataFrame([(m,) for m in gone], "id int")
+    denied = local_frame(spark, [(m,) for m in gone], "id int")
     return member_frame(spark, cube.dimensions[0]).join(F.broadcast(denied), "id", "left_anti").select(F.col("name").alias("geo"))
 
 
@@ -619,7 +620,7 @@ _L = "l AS (SELECT event_id AS seq, event_type || '-' || CAST(user_id AS VARCHAR
 @query("due_jobs", f"WITH {_L}, s AS (SELECT job, max(fire_ms) AS last_ms FROM l WHERE state = 'succeeded' GROUP BY job), j AS (SELECT DISTINCT job FROM l UNION ALL SELECT 'never') SELECT job, 'ops' AS owner, {B('coalesce(last_ms + 86400000, 0)')} AS next_due, job || '@' || CAST(coalesce(last_ms + 86400000, 0) AS VARCHAR) AS run FROM j LEFT JOIN s USING (job) WHERE coalesce(last_ms + 86400000, 0) <= 4102444800000")
 def due_jobs(spark, sf_dir):
     log = _ledger(spark, sf_dir)
-    names = log.select("job").distinct().union(spark.createDataFrame([("never",)], "job string"))
+    names = log.select("job").distinct().union(local_frame(spark, [("never",)], "job string"))
     table = names.select("job", F.lit("ops").alias("owner"), F.lit(86_400_000).cast("bigint").alias("interval_ms"), F.lit(True).alias("enabled"))
     return jobs.due(table, log, 4_102_444_800_000)
 

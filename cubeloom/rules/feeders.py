@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..cube import Cube, cell_schema, small
 from ..dimension import LEAF
+from ..local import local_frame
 from ..plans.regions import Evaluator
 from .compiled import Cell, CompiledRule, base_potent, cells_of, compile_rules
 
@@ -34,7 +35,7 @@ def _leaf_targets(cube: Cube, rule: CompiledRule) -> list[list[int]] | None:
 def _product(cube: Cube, sets: list[list[int]]) -> DataFrame:
     out = None
     for i, s in enumerate(sets):
-        one = cube.spark.createDataFrame([(m,) for m in s], f"d{i} int")
+        one = local_frame(cube.spark, [(m,) for m in s], f"d{i} int")
         out = one if out is None else out.crossJoin(small(one, len(s)))
     return out
 
@@ -46,7 +47,7 @@ def _fed_by(cube: Cube, cell: Cell, targets: list[list[int]], potent: DataFrame)
     for i, (d, pin) in enumerate(zip(cube.dimensions, cell.pins)):
         asked = targets[i] if pin is None else [pin]
         pairs = [(a, leaf) for a in asked for leaf in (d.leaf_weights(a) if d.kind(a) != LEAF else {a: 1})]
-        frame = cube.spark.createDataFrame(pairs, f"_t{i} int, d{i} int")
+        frame = local_frame(cube.spark, pairs, f"_t{i} int, d{i} int")
         rows = rows.join(small(frame, len(pairs)), f"d{i}")
         if pin is None:
             keep.append(f"_t{i}")
@@ -54,7 +55,7 @@ def _fed_by(cube: Cube, cell: Cell, targets: list[list[int]], potent: DataFrame)
     out = found
     for i, pin in enumerate(cell.pins):
         if pin is not None:
-            free = cube.spark.createDataFrame([(m,) for m in targets[i]], f"_t{i} int")
+            free = local_frame(cube.spark, [(m,) for m in targets[i]], f"_t{i} int")
             out = out.crossJoin(small(free, len(targets[i])))
     return out.select(*[F.col(f"_t{i}").alias(f"d{i}") for i in range(cube.rank)])
 
@@ -79,7 +80,7 @@ def infer(cubes: Mapping[str, Cube], name: str, checkpoint=lambda f: f.persist()
             rounds.append((targets, list(dict.fromkeys(own))))
         elif cells:
             opaque.append((n, "reads other cubes only"))
-    fed = cube.spark.createDataFrame([], cell_schema(cube.rank, "").rstrip(", "))
+    fed = local_frame(cube.spark, [], cell_schema(cube.rank, "").rstrip(", "))
     for w in whole:
         fed = fed.unionByName(w)
     fed = checkpoint(fed.distinct())

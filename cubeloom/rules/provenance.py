@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..cube import Cube, cell_schema
 from ..dimension import LEAF
 from ..functions import fixed
+from ..local import local_frame
 from ..plans.regions import Evaluator
 from .compiled import Cell, cells_of
 
@@ -46,7 +47,7 @@ def _values(e: Evaluator, cube: str, coordinates: Sequence[tuple[int, ...]]) ->
     if not coordinates:
         return {}
     region = [frozenset(x[i] for x in coordinates) for i in range(c.rank)]
-    asked = c.spark.createDataFrame(coordinates, cell_schema(c.rank, "").rstrip(", "))
+    asked = local_frame(c.spark, coordinates, cell_schema(c.rank, "").rstrip(", "))
     found = e.values(cube, region).join(F.broadcast(asked), c.keys, "left_semi").collect()
     at = {tuple(x[k] for k in c.keys): x["v"] or 0 for x in found}
     return {x: at.get(x, 0) for x in coordinates}
@@ -92,7 +93,7 @@ def contributions(e: Evaluator, cube: str, at: Sequence[int]) -> DataFrame:
     out = e.values(cube, [list(w) for w in below]).where("v <> 0")
     weight = F.lit(1).cast("bigint")
     for i, w in enumerate(below):
-        frame = c.spark.createDataFrame(list(w.items()), f"d{i} int, _w{i} bigint")
+        frame = local_frame(c.spark, list(w.items()), f"d{i} int, _w{i} bigint")
         out = out.join(F.broadcast(frame), f"d{i}")
         weight = weight * F.col(f"_w{i}")
     return out.select(*c.keys, "v", weight.alias("weight"))

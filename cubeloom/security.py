@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .cube import Cube
 from .errors import Denied
+from .local import local_frame
 from .operators.masks import Mask
 
 LEVELS = ("none", "read", "write", "admin")
@@ -95,10 +96,10 @@ class Audit:
     def append(self, at_ms: int, actor: str, action: str, obj: str, outcome: str = "ok") -> None:
         self._rows.append((len(self._rows), at_ms, actor, action, obj, outcome))
         if self.path:
-            self.spark.createDataFrame(self._rows[-1:], AUDIT).write.mode("append").parquet(self.path)
+            local_frame(self.spark, self._rows[-1:], AUDIT).write.mode("append").parquet(self.path)
 
     def frame(self) -> DataFrame:
-        return self.spark.read.schema(AUDIT).parquet(self.path) if self.path and self._rows else self.spark.createDataFrame(self._rows, AUDIT)
+        return self.spark.read.schema(AUDIT).parquet(self.path) if self.path and self._rows else local_frame(self.spark, self._rows, AUDIT)
 
     def query(self, wanted: Mapping[str, str] | None = None, since: int | None = None, until: int | None = None, limit: int = 100) -> DataFrame:
         return audit_query(self.frame(), wanted or {}, since, until, limit)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import CubeError, Denied, LimitExceeded
+from ..local import local_frame
 
 MOST_ROWS = 1_000_000
 MOST_BYTES = 16 << 20
@@ -54,12 +55,12 @@ def read_csv_text(spark: SparkSession, text: str, most: int = MOST_ROWS) -> Data
     """A CSV text as rows: the header names the columns; short records are filled with empty texts, extra fields dropped."""
     records = csv_records(text)
     if not records:
-        return spark.createDataFrame([], "value string")
+        return local_frame(spark, [], "value string")
     head, body = records[0], records[1:]
     if len(body) > most:
         raise LimitExceeded(f"{len(body)} rows, at most {most}")
     rows = [tuple((r + [""] * len(head))[: len(head)]) for r in body]
-    return spark.createDataFrame(rows, ", ".join(f"`{h}` string" for h in head))
+    return local_frame(spark, rows, ", ".join(f"`{h}` string" for h in head))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -79,7 +80,7 @@ def _text(value: object) -> str:
 def read_json_text(spark: SparkSession, text: str, path: str = "", most: int = MOST_ROWS) -> DataFrame:
     """An array of objects, below a dotted path if given; scalars become texts, null empty, nested values compact JSON."""
     if not text.strip():
-        return spark.createDataFrame([], "value string")
+        return local_frame(spark, [], "value string")
     value = json.loads(text)
     for step in filter(None, path.split(".")):
         if not isinstance(value, dict) or step not in value:
@@ -91,8 +92,8 @@ def read_json_text(spark: SparkSession, text: str, path: str = "", most: int = M
         raise LimitExceeded(f"{len(value)} rows, at most {most}")
     names = list(dict.fromkeys(k for x in value for k in x))
     if not names:
-        return spark.createDataFrame([], "value string")
-    return spark.createDataFrame([tuple(_text(x.get(n)) for n in names) for x in value], ", ".join(f"`{n}` string" for n in names))
+        return local_frame(spark, [], "value string")
+    return local_frame(spark, [tuple(_text(x.get(n)) for n in names) for x in value], ", ".join(f"`{n}` string" for n in names))
 
 
 def read_json_column(frame: DataFrame, column: str, fields: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
+from ..local import local_frame
 from ..operators import writes
 from ..operators.writes import last_writes
 
@@ -16,14 +17,14 @@ CHANGES = "seq bigint, cube string, kind string, version bigint"
 
 def change_log(engine: Engine) -> DataFrame:
     """All changes so far; private kinds (sandboxes) are told to owners only."""
-    return engine.spark.createDataFrame(engine.events, CHANGES)
+    return local_frame(engine.spark, engine.events, CHANGES)
 
 
 def append_changes(engine: Engine, path: str, since: int = 0) -> int:
     """Append changes from a position on to a Parquet log that streams can follow; the next position."""
     fresh = [e for e in engine.events if e[0] >= since]
     if fresh:
-        engine.spark.createDataFrame(fresh, CHANGES).coalesce(1).write.mode("append").parquet(path)
+        local_frame(engine.spark, fresh, CHANGES).coalesce(1).write.mode("append").parquet(path)
     return since + len(fresh)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import CubeError
+from ..local import local_frame
 
 JOBS = "job string, owner string, interval_ms bigint, enabled boolean"
 LEDGER = "seq bigint, run string, job string, state string, fire_ms bigint, at_ms bigint, message string"
@@ -73,14 +74,14 @@ class Scheduler:
         self.spark, self.jobs, self.records = spark, {j.name: j for j in jobs}, []
 
     def ledger(self) -> DataFrame:
-        return self.spark.createDataFrame(self.records, LEDGER)
+        return local_frame(self.spark, self.records, LEDGER)
 
     def _note(self, run: str, job: str, state: str, fire: int, at: int, message: str = "") -> None:
         self.records.append((len(self.records), run, job, state, fire, at, message))
 
     def tick(self, now_ms: int) -> list[str]:
         """Fire what is due and return the run ids."""
-        table = self.spark.createDataFrame([(j.name, j.owner, j.interval_ms, j.enabled) for j in self.jobs.values()], JOBS)
+        table = local_frame(self.spark, [(j.name, j.owner, j.interval_ms, j.enabled) for j in self.jobs.values()], JOBS)
         fired = due(table, self.ledger(), now_ms).collect()
         for f in fired:
             job = self.jobs[f["job"]]
