@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from . import minhash_dedup as m
 from . import quality_rules as q
 from . import secret_scan as s
+from . import substring_dedup as w
+from . import suffix_dedup as b
 from . import url_filter as u
 
 
@@ -96,8 +99,60 @@ def _quality_sql() -> str:
     return f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost, kept FROM {quality_relation('documents')}"
 
 
+_WORD = "[^ \\t\\n\\x0b\\f\\r]+"
+
+
+def _near_sql() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    k = m.WORDS
+    return f"""
+WITH RECURSIVE base AS (SELECT doc_id, regexp_extract_all({lower}, '{_WORD}') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= {k} THEN list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(list_slice(ws, i, i + {k - 1}), ' ')) ELSE [array_to_string(ws, ' ')] END) AS s
+  FROM base WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {m.PERCENT} * (x.n + y.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM base UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT base.doc_id, coalesce(n, 0) AS n_shingles, component_id, base.doc_id = component_id AS kept
+FROM base LEFT JOIN n ON n.doc_id = base.doc_id JOIN comp ON comp.a = base.doc_id"""
+
+
+def _words_sql() -> str:
+    k = w.WINDOW
+    return f"""
+WITH base AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+pos AS (
+  SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w,
+    unnest(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN i + {k - 1} <= len(ws) THEN array_to_string(list_slice(ws, i, i + {k - 1}), ' ') END)) AS win
+  FROM base),
+rep AS (SELECT r, i, w, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS rep FROM pos),
+cov AS (SELECT r, i, w, coalesce(i - max(CASE WHEN rep THEN i END) OVER (PARTITION BY r ORDER BY i) < {k}, false) AS gone FROM rep),
+per AS (SELECT r, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM cov GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM base LEFT JOIN per USING (r)"""
+
+
+def _bytes_sql() -> str:
+    k = b.WINDOW
+    return f"""
+WITH base AS (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+pos AS (SELECT r, doc_id, unnest(range(0, length(h) // 2)) AS i, h FROM base),
+win AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN 2 * (i + {k}) <= length(h) THEN substr(h, 2 * i + 1, {2 * k}) END AS w FROM pos),
+rep AS (SELECT r, i, b, w IS NOT NULL AND min(doc_id) OVER (PARTITION BY w) < doc_id AS rep FROM win),
+cov AS (SELECT r, i, b, coalesce(i - max(CASE WHEN rep THEN i END) OVER (PARTITION BY r ORDER BY i) < {k}, false) AS gone FROM rep),
+run AS (SELECT r, i, b, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS starts FROM cov),
+per AS (SELECT r, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM run GROUP BY r)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM base LEFT JOIN per USING (r)"""
+
+
 ORACLES = {
     "op1_url_filter": _url_sql(),
     "op2_secret_scan": _secret_sql(),
+    "op3_minhash_dedup": _near_sql(),
+    "op4_substring_dedup": _words_sql(),
+    "op9_suffix_dedup": _bytes_sql(),
     "op10_quality_rules": _quality_sql(),
 }

@@ -111,7 +111,7 @@ def test_all_are_registered():
     assert {*names, "pipeline"} <= entry.queries().keys() and set(queries.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op2_secret_scan", "op10_quality_rules"])
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql_agrees(spark, sf_dir, name):
     import duckdb
 
