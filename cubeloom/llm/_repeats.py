@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import tasks
+from ._spark import lean, tasks
 
 #: Keys that one bucket holds, about.
 BUCKET_KEYS = 1 << 20
@@ -88,8 +88,8 @@ def repeated(asks: DataFrame) -> DataFrame:
     spark = asks.sparkSession
     total = asks.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     buckets = max(tasks(spark), -(-(total // 8) // BUCKET_KEYS))
-    split = asks.select("src", "keys").mapInArrow(_split(buckets), "bucket int, src long, keys binary, places binary")
-    answers = split.repartition(tasks(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_reduce, "src long, places binary")
+    split = asks.select("src", "keys").mapInArrow(lean(_split(buckets)), "bucket int, src long, keys binary, places binary")
+    answers = split.repartition(tasks(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_reduce), "src long, places binary")
     return answers.groupBy("src").agg(F.collect_list("places").alias("hits"))
 
 

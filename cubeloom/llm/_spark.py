@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its counted payload is at most this.
 BROADCAST_BYTES = 64 << 20
+#: Rows of an Arrow batch, at most, in the sessions of operators that pass whole texts to Python.
+ARROW_ROWS = 1000
 SPACES = " \t\n\x0b\f\r"
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
@@ -33,6 +38,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        # Texts can be long: Arrow batches of the default 10,000 rows would take much memory on both sides.
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
@@ -58,6 +66,18 @@ def tasks(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def lean(run):
+    """A function over Arrow batches that gives its memory back at the end: workers are used again, also by other operators."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def checked(side: DataFrame, payload_bytes: float) -> DataFrame:
     """``side`` marked for broadcast if its counted bytes are within the bound, else for a shuffled hash join."""
     return F.broadcast(side) if payload_bytes <= BROADCAST_BYTES else side.hint("shuffle_hash")

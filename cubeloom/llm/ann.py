@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, tasks
+from ._spark import Scratch, lean, tasks
 
 SHARD = 4096
 NEIGHBOURS = 24
@@ -237,7 +237,7 @@ def prepared(vectors: DataFrame) -> DataFrame:
                     blobs.append((x + 0.0).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(dims, pa.int32()), pa.array(blobs, pa.binary())], names=["vec_id", "dim", "vec"])
 
-    return vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), "vector").mapInArrow(run, "vec_id long, dim int, vec binary")
+    return vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), "vector").mapInArrow(lean(run), "vec_id long, dim int, vec binary")
 
 
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, width: int = BEAM, shard: int = SHARD) -> DataFrame:
@@ -264,7 +264,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, width: int =
     blocks = asked.join(F.broadcast(shards_of), "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.col("qs.vec_id").alias("qids"), F.col("qs.vec").alias("vecs"))
     met = blocks.join(graphs.hint("shuffle_hash"), ["dim", "shard"])
     met = met.select("graph", "qids", F.concat(F.lit(b""), F.aggregate("vecs", F.lit(b""), lambda a, v: F.concat(a, v))).alias("vecs"))
-    found = met.repartition(tasks(spark)).mapInArrow(_answers(width, k), "query_id long, vec_id long, score double")
+    found = met.repartition(tasks(spark)).mapInArrow(lean(_answers(width, k)), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

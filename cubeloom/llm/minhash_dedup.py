@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import Scratch, checked, tasks
+from ._spark import Scratch, checked, lean, tasks
 from .components import connected_components
 
 WORDS = 5
@@ -184,7 +184,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     work = partners.union(leads)
     sent = docs.select("doc_id", "text").join(checked(work, 40 * 2 * pairs.count()), F.col("doc_id") == F.col("doc"))
     sent = sent.select("lead", "salt", "role", "doc", "text").repartition(tasks(spark), "lead", "salt").sortWithinPartitions("lead", "salt", "role")
-    return sent.mapInArrow(_confirm, "u long, v long")
+    return sent.mapInArrow(lean(_confirm), "u long, v long")
 
 
 def _reopened(k: int):
@@ -243,14 +243,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    sketch = scratch.write(docs.select("doc_id", "text").mapInArrow(_sketches, "doc_id long, n long, f1 long, f2 long, sig binary, fine binary"), "sketch")
+    sketch = scratch.write(docs.select("doc_id", "text").mapInArrow(lean(_sketches), "doc_id long, n long, f1 long, f2 long, sig binary, fine binary"), "sketch")
     live = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     least = sketch.where(live).groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     members = scratch.write(sketch.select("doc_id", "n", *[F.when(live, F.col(c)).alias(c) for c in ("f1", "f2")]).join(least, ["f1", "f2"], "left").select("doc_id", "n", "rep"), "members")
     # Sketches stay where they were written; only ids move to pick out those of classes.
     reps = scratch.write(members.where("doc_id = rep").select("rep").distinct(), "reps")
     classes = sketch.where(live).withColumnRenamed("doc_id", "rep").join(checked(reps, 16 * reps.count()), "rep", "left_semi")
-    bands = classes.select("rep", "sig").mapInArrow(_bands, "rep long, key long")
+    bands = classes.select("rep", "sig").mapInArrow(lean(_bands), "rep long, key long")
     leads = bands.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("hi")).where("lead <> hi").drop("hi")
     shared = scratch.write(bands.join(leads, "key").select("rep", "key", "lead"), "shared")
     met = shared.where("rep <> lead").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("n"))
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = best.select(F.col("a").alias("rep")).union(best.select("b")).distinct()
     sigs = scratch.write(classes.select("rep", "sig").join(checked(named, 32 * best.count()), "rep", "left_semi"), "signatures")
     sig_of = lambda c: sigs.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"))
-    similar = best.join(sig_of("a"), "a").join(sig_of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_similar, "a long, b long")
+    similar = best.join(sig_of("a"), "a").join(sig_of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lean(_similar), "a long, b long")
     tried = scratch.write(similar.distinct(), "stars")
     scratch.drop(best, sigs)
     links = scratch.write(confirmed(docs, tried), "links")

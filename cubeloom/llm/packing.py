@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import Scratch
+from ._spark import Scratch, lean
 
 CAPACITY = 1024
 END = 2
@@ -164,7 +164,7 @@ def pack(docs: DataFrame, most: Capacities = Capacities(), rule: str = "norm", p
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    pieces = docs.select("doc_id", "text").mapInArrow(_pieces(path or tokenizer_path(), most.tokens), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task long, rank long")
+    pieces = docs.select("doc_id", "text").mapInArrow(lean(_pieces(path or tokenizer_path(), most.tokens)), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task long, rank long")
     pieces = scratch.write(pieces, "pieces")
     per = scratch.write(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "counts")
     # At most one row per length: no more rows than tokens in a bin.
@@ -189,4 +189,4 @@ def pack(docs: DataFrame, most: Capacities = Capacities(), rule: str = "norm", p
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(seq), pa.array(off)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     wanted = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
-    return wanted.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return wanted.mapInArrow(lean(place), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

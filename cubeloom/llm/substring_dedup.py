@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _repeats, _text
-from ._spark import Scratch, checked, text_or_empty
+from ._spark import Scratch, checked, lean, text_or_empty
 
 WINDOW = 35
 SHORTEST = 9
-#: Bytes handled at once where places are bytes.
+#: Bytes of texts in a block.
 BYTES_CHUNK = 1 << 20
 
 
@@ -108,7 +108,7 @@ def _asks(window: int, length: int, narrowed: bool, of_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src = TaskContext.get().partitionId() << 32
         for b in batches:
-            for part in slices(b, 2, BYTES_CHUNK if of_bytes else _text.CHUNK_BYTES):
+            for part in slices(b, 2, BYTES_CHUNK):
                 row = block(src, part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist() if narrowed else None)
                 src += 1
                 if len(row[-1]):
@@ -147,9 +147,9 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def level(rows: DataFrame, window: int, length: int, narrowed: bool, scratch: Scratch, of_bytes: bool = False) -> DataFrame:
     """One level: (doc_id, th, ranges) of the windows that survive it, a written table, one row for each id and text."""
-    asks = scratch.write(rows.mapInArrow(_asks(window, length, narrowed, of_bytes), _ASKS), f"asks{length}")
+    asks = scratch.write(rows.mapInArrow(lean(_asks(window, length, narrowed, of_bytes)), _ASKS), f"asks{length}")
     joined = asks.join(_repeats.repeated(asks), "src", "left")
-    found = joined.mapInArrow(_survivors, "doc_id long, th long, ranges binary").groupBy("doc_id", "th").agg(F.first("ranges").alias("ranges"))
+    found = joined.mapInArrow(lean(_survivors), "doc_id long, th long, ranges binary").groupBy("doc_id", "th").agg(F.first("ranges").alias("ranges"))
     found = scratch.write(found, f"ranges{length}")
     scratch.drop(asks)
     return found
@@ -207,4 +207,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) of every row of ``docs``."""
     rows, found = repeated_windows(docs, window)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return with_ranges(rows, found, "left").select("doc_id", "th", "text", "ranges").mapInArrow(_cut(window, with_text), schema)
+    return with_ranges(rows, found, "left").select("doc_id", "th", "text", "ranges").mapInArrow(lean(_cut(window, with_text)), schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import Scratch, tasks, text_or_empty
+from ._spark import Scratch, lean, tasks, text_or_empty
 from .substring_dedup import BYTES_CHUNK, chosen, level, slices, with_ranges
 
 WINDOW = 50
@@ -270,19 +270,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_bytes: bool = Fal
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
     named = rows.where("doc_id is not null")
     found = level(named, window, STRETCH, False, scratch, of_bytes=True)
-    strings = found.mapInArrow(_count, "n long").agg(F.sum("n")).first()[0] or 0
+    strings = found.mapInArrow(lean(_count), "n long").agg(F.sum("n")).first()[0] or 0
     shards = max(tasks(spark), -(-strings // SHARD))
-    sent = with_ranges(named, found, "inner").select("doc_id", "th", "text", "ranges").mapInArrow(_fragments(window, shards), _FRAGMENTS)
+    sent = with_ranges(named, found, "inner").select("doc_id", "th", "text", "ranges").mapInArrow(lean(_fragments(window, shards)), _FRAGMENTS)
     # Blocks' own hits (shard -1) need no meeting and stay spread.
     dealt = sent.withColumn("deal", F.when(F.col("shard") < 0, F.xxhash64("src")).otherwise(F.col("shard").cast("long")))
     dealt = dealt.repartition(tasks(spark), "deal").drop("deal").sortWithinPartitions("shard")
-    hits = dealt.mapInArrow(_search(window), _HITS)
+    hits = dealt.mapInArrow(lean(_search(window)), _HITS)
     grouped = hits.groupBy("src").agg(F.collect_list(F.struct("docs", "ths", "h_doc", "lo", "hi")).alias("hits")).select("hits")
-    removed = grouped.mapInArrow(_per_document, "doc_id long, th long, ranges binary")
+    removed = grouped.mapInArrow(lean(_per_document), "doc_id long, th long, ranges binary")
     removed = scratch.write(removed.groupBy("doc_id", "th").agg(F.first("ranges").alias("ranges")), "removed")
     scratch.drop(found)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
-    return with_ranges(rows, removed, "left").select("doc_id", "text", "ranges").mapInArrow(_cut(window, with_bytes), schema)
+    return with_ranges(rows, removed, "left").select("doc_id", "text", "ranges").mapInArrow(lean(_cut(window, with_bytes)), schema)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

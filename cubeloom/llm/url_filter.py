@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._spark import lean
+
 MOST_IMAGE_BYTES = 256 << 20
 _HEAD = struct.Struct("<8sQQQ")
 _MAGIC = b"URLDIG01"
@@ -152,7 +154,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, defau
                 names=[id_col, "host", "path", "rule", "verdict"],
             )
 
-    return pages.select(id_col, "url").mapInArrow(run, f"{id_col} {id_type}, host string, path string, rule string, verdict string")
+    return pages.select(id_col, "url").mapInArrow(lean(run), f"{id_col} {id_type}, host string, path string, rule string, verdict string")
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: str = "page_id") -> DataFrame:
