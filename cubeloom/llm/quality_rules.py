@@ -1,7 +1,9 @@
 """Quality rules, line first (built-in functions only).
 
 Every line is judged on its own: lines of navigation, of boilerplate, of shouting or of
-symbols are removed.  A document is then rejected if it loses more than ``MOST_LOST`` of
+symbols are removed.  Lines without an end mark that are too short for wrapped prose are
+removed where two or more follow each other (menus; blank lines between them, up to two,
+don't count); a single one may be a heading and stays.  A document is then rejected if it loses more than ``MOST_LOST`` of
 its non-blank characters, or if a document rule (too few words, too much repetition)
 fails on the input text.
 
@@ -25,6 +27,19 @@ LEAST_SEPARATORS = 3
 NAVIGATION = "[|\\u00bb\\u203a\\u2022]"
 #: Symbols that end or form words of junk lines, and shouting.
 JUNK_WORD = "(?:[#*$%&<>|~^]{2,}|[A-Z]{2,}[,.]?!!)"
+#: Punctuation and symbols of any script; a line is junk if they are over half of its characters, or over MOST_MARKS of it from LEAST_MARKS on.
+MARKS = "[\\p{P}\\p{S}]"
+LEAST_MARKS = 8
+MOST_MARKS = 0.3
+#: A line is shouting if so much of its cased letters is capitals, from LEAST_LETTERS on, or from LEAST_SHOUTED on where it has an exclamation mark.
+MOST_CAPITALS = 0.7
+LEAST_LETTERS = 20
+LEAST_SHOUTED = 8
+#: What a line of prose ends with, closing marks aside; with commas and colons, after which prose goes on.
+END_MARK = "[.!?\\u2026\\u3002\\uff01\\uff1f\\u0964\\u0965\\u061f\\u06d4,;:\\uff0c\\uff1a\\uff1b\\u3001\\u060c-][\\p{Pe}\\p{Pf}\\p{Pi}\"'*_\\x20\\x09-\\x0D]*$"
+#: A line without an end mark is no part of a menu if it has so many words, or characters (scripts without spaces).
+LEAST_LINE_WORDS = 6
+LEAST_LINE_CHARS = 60
 #: Phrases of boilerplate lines, in lower case.
 BOILERPLATE = (
     "all rights reserved",
@@ -41,13 +56,34 @@ BOILERPLATE = (
 )
 
 
+def bad_punctuation(line: Column) -> Column:
+    """Whether a line is mostly marks, or shouting."""
+    n_marks, n_solid = F.regexp_count(line, F.lit(MARKS)), F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]"))
+    marks = (n_marks * 2 > n_solid) | ((n_marks >= LEAST_MARKS) & (n_marks > n_solid * MOST_MARKS))
+    capitals, letters = F.regexp_count(line, F.lit("\\p{Lu}")), F.regexp_count(line, F.lit("[\\p{Lu}\\p{Ll}]"))
+    least = F.when(line.rlike("[!\\uff01]"), LEAST_SHOUTED).otherwise(LEAST_LETTERS)
+    return marks | ((letters >= least) & (capitals > letters * MOST_CAPITALS))
+
+
+def stub(line: Column) -> Column:
+    """Whether a line is short and without an end mark; null for a blank line."""
+    short = (F.regexp_count(line, F.lit(WORD_RE)) < LEAST_LINE_WORDS) & (F.char_length(line) < LEAST_LINE_CHARS)
+    return F.when(line.rlike(WORD_RE), short & ~line.rlike(END_MARK))
+
+
+def in_menu(stubs: Column, i: Column) -> Column:
+    """Whether line i and a non-blank line next to it are stubs."""
+    before, after = (F.coalesce(*[F.get(stubs, i + side * k) for k in (1, 2, 3)], F.lit(False)) for side in (-1, 1))
+    return F.get(stubs, i) & (before | after)
+
+
 def bad_line(line: Column) -> Column:
-    """Whether a non-blank line is to be removed: navigation, boilerplate, or mostly junk words."""
+    """Whether a non-blank line is to be removed: bad punctuation, navigation, boilerplate, or mostly junk words."""
     n_words = F.regexp_count(line, F.lit(WORD_RE))
     nav = F.regexp_count(line, F.lit(NAVIGATION)) >= F.greatest(F.lit(LEAST_SEPARATORS), n_words / 4)
     junk = F.regexp_count(line, F.lit(JUNK_WORD)) * 2 > n_words
     phrase = line.rlike("(?i)" + "|".join(BOILERPLATE))
-    return nav | junk | phrase
+    return nav | junk | phrase | bad_punctuation(line)
 
 
 def repeated_words(words: Column, k: int = WINDOW) -> Column:
@@ -90,7 +126,8 @@ def measured(docs: DataFrame) -> DataFrame:
     step = docs.withColumn("_text", text_or_empty())
     step = step.withColumn("_words", words_of(text)).withColumn("_lines", F.split(text, "\n", -1))
     step = step.withColumn("_full", F.filter("_lines", lambda x: x.rlike(WORD_RE)))
-    step = step.withColumn("_kept", F.filter("_lines", lambda x: ~x.rlike(WORD_RE) | ~bad_line(x)))
+    step = step.withColumn("_stubs", F.transform("_lines", stub))
+    step = step.withColumn("_kept", F.filter("_lines", lambda x, i: ~x.rlike(WORD_RE) | ~(bad_line(x) | in_menu(F.col("_stubs"), i))))
     n_words = F.size("_words").cast("long")
     step = (
         step.withColumn("n_words", n_words)
@@ -104,7 +141,7 @@ def measured(docs: DataFrame) -> DataFrame:
     lost = F.when(F.size("_kept") == F.size("_lines"), F.lit(0.0)).otherwise(1.0 - solid(F.col("_clean")) / F.greatest(F.col("word_chars"), F.lit(1)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     step = step.withColumn("lost", lost).withColumn("base_failed", failed)
-    return step.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= MOST_LOST)).drop("_text", "_words", "_lines", "_full", "_kept")
+    return step.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= MOST_LOST)).drop("_text", "_words", "_lines", "_full", "_stubs", "_kept")
 
 
 def report(docs: DataFrame) -> DataFrame:

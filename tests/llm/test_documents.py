@@ -239,6 +239,20 @@ def test_line_rules(spark):
     assert set(out) == {0, 1} and out[0]["text"] == good and out[1]["text"] == good + "\n" and out[1]["n_chars"] == len(good) + 1
 
 
+def test_punctuation_rules(spark):
+    rng = random.Random(9)
+    good = "\n".join(sentence(rng, 9).capitalize() for _ in range(4))
+    stay = ["Of.", "NASA.", '"No," he said.', "A heading", "Ja, -", "\u4f60" * 70]
+    for bad in ("--------", "........", "!!!! ????", "BUY NOW! FREE MONEY!", "BUY NOW!!! CHEAP PILLS HERE!!!", "buy!!! now??? cheap!!! pills!!!", "\u00c9T\u00c9 \u00c0 PARIS! \u00c9T\u00c9!", "THE BEST OFFERS OF THE WEEK ARE HERE.", "Home News Sport\nAbout\n\nHelp"):
+        only = "\n".join(f"{bad}\n{x}." for x in "abcdefghij") + "\n" + "\n".join([bad] * 30)
+        docs = spark.createDataFrame([(0, good + "\n" + bad + "\n" + good), (1, only)], "doc_id long, text string")
+        got = by_id(quality_rules.measured(docs))
+        assert got[0]["_clean"].replace("\n\n", "\n") == good + "\n" + good, bad
+        assert got[1]["lost"] > quality_rules.MOST_LOST and not got[1]["kept"], bad
+    kept = spark.createDataFrame([(i, f"{good}\n{x}\n{good}") for i, x in enumerate(stay)], "doc_id long, text string")
+    assert all(r["lost"] == 0 for r in quality_rules.report(kept).collect())
+
+
 def test_quality_odd(odd, empty):
     assert quality_rules.report(odd).count() == 8 and quality_rules.report(empty).count() == 0
     out = quality_rules.clean(odd)
