@@ -40,6 +40,10 @@ END_MARK = "[.!?\\u2026\\u3002\\uff01\\uff1f\\u0964\\u0965\\u061f\\u06d4,;:\\uff
 #: A line without an end mark is no part of a menu if it has so many words, or characters (scripts without spaces).
 LEAST_LINE_WORDS = 6
 LEAST_LINE_CHARS = 60
+#: A line with a phrase of boilerplate is removed up to so many words and characters, or where phrases are so large a part of it.
+MOST_PHRASE_WORDS = 20
+MOST_PHRASE_CHARS = 200
+LEAST_PHRASES = 0.25
 #: Phrases of boilerplate lines, in lower case.
 BOILERPLATE = (
     "all rights reserved",
@@ -56,6 +60,14 @@ BOILERPLATE = (
 )
 
 
+def boilerplate(line: Column, n_words: Column) -> Column:
+    """Whether a line has a phrase of boilerplate and is short, or phrases are a large share of it: prose may mention one."""
+    phrases = "(?i)" + "|".join(BOILERPLATE)
+    rest = F.char_length(F.regexp_replace(line, phrases, ""))
+    short = (n_words <= MOST_PHRASE_WORDS) & (F.char_length(line) <= MOST_PHRASE_CHARS)
+    return line.rlike(phrases) & (short | (F.char_length(line) - rest >= F.char_length(line) * LEAST_PHRASES))
+
+
 def bad_punctuation(line: Column) -> Column:
     """Whether a line is mostly marks, or shouting."""
     n_marks, n_solid = F.regexp_count(line, F.lit(MARKS)), F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]"))
@@ -82,8 +94,7 @@ def bad_line(line: Column) -> Column:
     n_words = F.regexp_count(line, F.lit(WORD_RE))
     nav = F.regexp_count(line, F.lit(NAVIGATION)) >= F.greatest(F.lit(LEAST_SEPARATORS), n_words / 4)
     junk = F.regexp_count(line, F.lit(JUNK_WORD)) * 2 > n_words
-    phrase = line.rlike("(?i)" + "|".join(BOILERPLATE))
-    return nav | junk | phrase | bad_punctuation(line)
+    return nav | junk | boilerplate(line, n_words) | bad_punctuation(line)
 
 
 def repeated_words(words: Column, k: int = WINDOW) -> Column:

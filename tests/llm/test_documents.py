@@ -253,6 +253,15 @@ def test_punctuation_rules(spark):
     assert all(r["lost"] == 0 for r in quality_rules.report(kept).collect())
 
 
+def test_prose_that_mentions_a_phrase_stays(spark):
+    rng = random.Random(10)
+    prose, more = (" ".join(sentence(rng, 12).capitalize() for _ in range(6)) for _ in range(2))
+    rows = [prose + " They read the Privacy Policy twice. " + more, prose + "\nAll rights reserved. " + "Privacy policy, terms of use, cookie policy, back to top. " * 6]
+    got = by_id(quality_rules.measured(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
+    assert got[0]["lost"] == 0 and got[0]["_clean"] == rows[0] and got[0]["kept"]
+    assert got[1]["_clean"] == prose
+
+
 def test_quality_odd(odd, empty):
     assert quality_rules.report(odd).count() == 8 and quality_rules.report(empty).count() == 0
     out = quality_rules.clean(odd)
