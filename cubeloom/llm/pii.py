@@ -4,8 +4,10 @@ Base entities (email, ip, card, phone) are found by expressions and checked (add
 Luhn digits, digit counts).  They seed the bootstrap:
 
 1. Every identifier-like word (one with digits or ``@``) is an instance; the two words before
-   it are its pattern.  Instances inside base spans are seeds,
-   known by the whole span.
+   it, over any white space, are its pattern, and where its line begins within them, the line's
+   start and the words on either side of it are another.  Identifiers count as one mark, as does
+   the start of the text.  Instances inside base spans are seeds, known by the whole span; its
+   later words are no instances of their own.
 2. On the bipartite graph of patterns and instances, weighted by how often they occur
    together, patterns are scored by the mean score of what they precede, and instances by
    the noisy-or of their patterns; seeds keep score 1.  ``ROUNDS`` rounds are run.
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _spans
-from ._spark import Scratch, text_or_empty
+from ._spark import Scratch, let, text_or_empty
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Equal to the plain expressions, but possessive and tried only where a match can begin, so that long runs cost no more than their length.
@@ -41,6 +43,8 @@ LEAST_SEEDS = 5
 SMOOTHING = 2.0
 LEAST_DIGITS = 4
 INSTANCE = "(?:(?<![^\\x20\\x09-\\x0D])|\\G)[^\\x20\\x09-\\x0D0-9@]*+[0-9@][^\\x20\\x09-\\x0D]*+"
+#: Words of patterns that stand for an identifier and for the start of a line or text.
+ID, START = "\x01", "\x02"
 _ENTRY = "array<struct<start:int,end:int,pattern:string,instance:string,seed:boolean>>"
 
 
@@ -86,23 +90,40 @@ def base_spans(text: Column) -> Column:
 
 
 def entries(text: Column, base: Column) -> Column:
-    """The text's instances that have two words before them."""
-
-    def entry(m: Column) -> Column:
-        bare = F.regexp_extract(m["hit"], "^([(\\[{\"'<]*)(.*?)[.,;:!?)\\]}\"'>]*$", 2)
-        lead = F.char_length(F.regexp_extract(m["hit"], "^([(\\[{\"'<]*)", 1))
-        before = F.right(m["gap"], F.lit(64))
-        pattern = F.lower(F.concat_ws(" ", F.regexp_extract(before, "([^\\x20\\x09-\\x0D]{1,24})[\\x20\\x09]+[^\\x20\\x09-\\x0D]{1,24}[\\x20\\x09]+$", 1), F.regexp_extract(before, "[^\\x20\\x09-\\x0D]{1,24}[\\x20\\x09]+([^\\x20\\x09-\\x0D]{1,24})[\\x20\\x09]+$", 1)))
-        start = (m["start"] + lead).cast("int")
-        end = (start + F.char_length(bare)).cast("int")
-        known = F.get(F.filter(base, lambda b: (b["start"] < end) & (b["end"] > start)), F.lit(0))
-        seed = known.isNotNull()
-        instance = F.when(seed, F.substring(text, known["start"] + 1, known["end"] - known["start"])).otherwise(bare)
-        return F.struct(start.alias("start"), end.alias("end"), pattern.alias("pattern"), instance.alias("instance"), seed.alias("seed"))
-
-    found = F.transform(_spans.matches(text, INSTANCE), entry)
-    shaped = lambda e: (F.char_length(e["pattern"]) > 1) & (e["seed"] | (F.char_length(F.regexp_replace(e["instance"], "[^0-9]", "")) >= LEAST_DIGITS) | e["instance"].contains("@"))
-    return F.filter(found, shaped).cast(_ENTRY)
+    """The text's instances, once for each of their patterns."""
+    def later_part(m: Column) -> Column:
+        return F.exists(base, lambda b: (b["start"] < m["start"]) & (b["end"] > m["start"]))
+
+    def last_two(words: Column) -> Column:
+        return F.substring_index(F.btrim(F.regexp_replace(words, "[\\x20\\x09-\\x0D]+", " ")), " ", -2)
+
+    def with_ends(m: Column) -> Column:
+        lines = F.regexp_replace(m["gap"], "[\\n\\r][\\x20\\x09-\\x0D]*+", f" {START} ")
+        return F.struct(m["start"].alias("start"), m["hit"].alias("hit"), last_two(m["gap"]).alias("words"), last_two(lines).alias("lines"))
+
+    def all_of(found: Column) -> Column:
+        def entry(m: Column, i: Column) -> Column:
+            before, first = F.get(found, i - 1), F.when(i < 2, START).otherwise(ID)
+
+            def pattern(kind: str) -> Column:
+                ahead = F.when(i == 0, F.lit(START)).otherwise(F.concat_ws(" ", first, before[kind], F.lit(ID)))
+                return F.lower(last_two(F.concat_ws(" ", ahead, m[kind])))
+
+            bare = F.regexp_extract(m["hit"], "^([(\\[{\"'<]*)(.*?)[.,;:!?)\\]}\"'>]*$", 2)
+            lead = F.char_length(F.regexp_extract(m["hit"], "^([(\\[{\"'<]*)", 1))
+            start = (m["start"] + lead).cast("int")
+            end = (start + F.char_length(bare)).cast("int")
+            known = F.get(F.filter(base, lambda b: (b["start"] < end) & (b["end"] > start)), F.lit(0))
+            seed = known.isNotNull()
+            instance = F.when(seed, F.substring(text, known["start"] + 1, known["end"] - known["start"])).otherwise(bare)
+            patterns = F.array_distinct(F.array(pattern("words"), pattern("lines")))
+            return F.transform(patterns, lambda p: F.struct(start.alias("start"), end.alias("end"), p.alias("pattern"), instance.alias("instance"), seed.alias("seed")))
+
+        return F.flatten(F.transform(found, entry))
+
+    kept = F.filter(_spans.matches(text, INSTANCE), lambda m: ~later_part(m))
+    shaped = lambda e: e["seed"] | (F.char_length(F.regexp_replace(e["instance"], "[^0-9]", "")) >= LEAST_DIGITS) | e["instance"].contains("@")
+    return F.filter(let(F.transform(kept, with_ends), all_of), shaped).cast(_ENTRY)
 
 
 def trusted_patterns(graph: DataFrame, scratch: Scratch) -> DataFrame:

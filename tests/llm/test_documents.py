@@ -368,6 +368,19 @@ def test_patterns_learned_from_seeds_find_unseen_identifiers(spark):
     assert {i for i, r in got.items() if "learned" in r["spans"]} == {300}
 
 
+def test_patterns_over_lines_and_identifiers(spark):
+    tel = [f"+1 (555) 124-{i:04d}" for i in range(20)]
+    forms = ["some {}\nSSN: {{}}", "{} Contact\n{{}}", "please ring\n{{}} {}", "user 7 account {{}} {}", "we ring 5557771234 or {{}} {}"]
+    rows = [(100 * k + i, f.format(f"w{'abcdefghijklmnopqrstuvwxyz'[i]}").format(t)) for k, f in enumerate(forms) for i, t in enumerate(tel)]
+    rows += [(900 + k, f.format("zz").format("5551234567")) for k, f in enumerate(forms)]
+    rows += [(1000 + i, t + " first") for i, t in enumerate(tel)] + [(1100, "5551234567 first")]
+    got = by_id(pii.report(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i in (*range(900, 905), 1100):
+        at = dict(rows)[i].index("5551234567")
+        assert f"learned:{at}:{at + 10}" in got[i]["spans"].split(","), dict(rows)[i]
+    assert not any("learned" in got[i]["spans"] for i, t in rows if i < 400 or 1000 <= i < 1100)
+
+
 def test_personal_data_odd(odd, empty):
     assert pii.report(odd).count() == 8 and pii.report(empty).count() == 0
 
