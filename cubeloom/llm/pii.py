@@ -12,7 +12,9 @@ Luhn digits, digit counts).  They seed the bootstrap:
    together, patterns are scored by the mean score of what they precede, and instances by
    the noisy-or of their patterns; seeds keep score 1.  ``ROUNDS`` rounds are run.
 3. A pattern is trusted if its score is at least ``LEAST_SCORE`` and it precedes at least
-   ``LEAST_SEEDS`` different seeds.  Unseen instances right after a trusted pattern become
+   ``LEAST_SEEDS`` different seeds.  What trusted patterns precede counts as seeds from then
+   on, with its score as the least, and 2 and 3 are run again until no further pattern is
+   trusted.  Unseen instances right after a trusted pattern become
    spans of kind ``learned``; base spans stay as they are.
 
 Null text counts as empty.  Null and repeated ids are kept, one result per row.  An empty
@@ -129,15 +131,26 @@ def entries(text: Column, base: Column) -> Column:
 def trusted_patterns(graph: DataFrame, scratch: Scratch) -> DataFrame:
     """(pattern, score) of trusted patterns of a graph (pattern, instance, n, seed)."""
     graph = scratch.write(graph, "graph")
-    known = graph.where("seed").groupBy("instance").agg(F.lit(1.0).alias("score"))
-    scores, patterns = known, None
-    for _ in range(ROUNDS):
-        scored = graph.join(scores, "instance", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
-        patterns = scored.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + SMOOTHING)).alias("p"), F.count_if("seed").alias("seeds"))
-        patterns = scratch.write(patterns.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("p") > 0.05)), "patterns")
-        unlike = F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))
-        scores = graph.join(patterns, "pattern").groupBy("instance").agg(F.when(F.max("seed"), 1.0).otherwise(1 - unlike).alias("score"))
-    return patterns.where(F.col("p") >= LEAST_SCORE).select("pattern", F.col("p").alias("score"))
+    base = graph.where("seed").groupBy("instance").agg(F.lit(1.0).alias("known"))
+    known, trusted, n_trusted = base, None, 0
+    noisy_or = 1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))
+    while True:
+        held = scratch.write(graph.join(known, "instance", "left").withColumn("known", F.coalesce("known", F.lit(0.0))), "held")
+        scored = held.withColumn("score", F.col("known"))
+        for _ in range(ROUNDS):
+            patterns = scored.groupBy("pattern").agg((F.sum(F.col("n") * F.col("score")) / (F.sum("n") + SMOOTHING)).alias("p"), F.count_if(F.col("known") >= LEAST_SCORE).alias("support"))
+            patterns = scratch.write(patterns.where((F.col("support") >= LEAST_SEEDS) & (F.col("p") > 0.05)), "patterns")
+            scores = held.join(patterns, "pattern").groupBy("instance").agg(noisy_or.alias("found"))
+            scored = held.join(scores, "instance", "left").withColumn("score", F.greatest("known", F.coalesce("found", F.lit(0.0))))
+        found = patterns.where(F.col("p") >= LEAST_SCORE).select("pattern", "p")
+        found = found if trusted is None else trusted.unionByName(found).groupBy("pattern").agg(F.max("p").alias("p"))
+        trusted = scratch.write(found, "trusted")
+        n = trusted.count()
+        if n == n_trusted:
+            return trusted.select("pattern", F.col("p").alias("score"))
+        n_trusted = n
+        learned = graph.join(trusted, "pattern").groupBy("instance").agg(noisy_or.alias("known"))
+        known = base.unionByName(learned).groupBy("instance").agg(F.max("known").alias("known"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:

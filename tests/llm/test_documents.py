@@ -381,6 +381,17 @@ def test_patterns_over_lines_and_identifiers(spark):
     assert not any("learned" in got[i]["spans"] for i, t in rows if i < 400 or 1000 <= i < 1100)
 
 
+def test_patterns_are_trusted_over_several_hops(spark):
+    hops, rows = ["please ring", "dial desk", "reach agent", "page nurse"], []
+    rows += [("please ring", f"+1 (555) 125-{i:04d}") for i in range(200)]
+    for k, (a, b) in enumerate(zip(hops, hops[1:])):
+        rows += [(x, str(10000 * (k + 1) + i)) for i in range(40) for x in (a, b)]
+    rows += [("page nurse", "987654"), ("lot number", "987653")]
+    texts = [f"we {a} {b} today" for a, b in rows]
+    got = by_id(pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert "learned" in got[len(rows) - 2]["spans"] and "learned" not in got[len(rows) - 1]["spans"]
+
+
 def test_personal_data_odd(odd, empty):
     assert pii.report(odd).count() == 8 and pii.report(empty).count() == 0
 
