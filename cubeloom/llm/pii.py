@@ -6,8 +6,8 @@ Luhn digits, digit counts).  They seed the bootstrap:
 1. Every identifier-like word (one with digits or ``@``) is an instance; the two words before
    it, over any white space, are its pattern, and where its line begins within them, the line's
    start and the words on either side of it are another.  Identifiers count as one mark, as does
-   the start of the text.  Instances inside base spans are seeds, known by the whole span; its
-   later words are no instances of their own.
+   the start of the text.  Instances that meet base spans are seeds, known by the whole span (or
+   run of overlapping ones); its later words are no instances of their own.
 2. On the bipartite graph of patterns and instances, weighted by how often they occur
    together, patterns are scored by the mean score of what they precede, and instances by
    the noisy-or of their patterns; seeds keep score 1.  ``ROUNDS`` rounds are run.
@@ -84,26 +84,45 @@ def _valid(kind: str, hit: Column) -> Column:
 def base_spans(text: Column) -> Column:
     """All checked base spans of a text by start, then kind."""
 
-    def one(rank: int, kind: str) -> Column:
-        hits = F.filter(_spans.matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["hit"]))
-        return _spans.named(hits, rank, kind)
+    def checked_of(found: Column) -> Column:
+        one = lambda rank, kind: _spans.named(F.filter(F.get(found, rank), lambda m: _valid(kind, m["hit"])), rank, kind)
+        return F.array_sort(F.concat(*[one(rank, kind) for rank, kind in enumerate(KINDS)]))
 
-    return F.array_sort(F.concat(*[one(rank, kind) for rank, kind in enumerate(KINDS)]))
+    return let(_spans.matches(text, [(PATTERNS[k], 0) for k in KINDS]), checked_of)
+
+
+def _with_spans(found: Column, base: Column) -> Column:
+    """Words (by start) with the run of overlapping base spans [lo, hi) that begins last before each one's end, found in one walk over both."""
+    event = lambda at, kind, end: F.struct(at.alias("at"), F.lit(kind).alias("kind"), end.alias("end"))
+    begins = F.transform(base, lambda b: event(b["start"], 1, b["end"]))
+    events = F.array_sort(F.concat(begins, F.transform(found, lambda m: event(m["end"], 0, m["end"]))))
+
+    def walk(s: Column, e: Column) -> Column:
+        joins = e["at"] < s["hi"]
+        lo, hi = F.when(joins, s["lo"]).otherwise(e["at"]), F.when(joins, F.greatest(s["hi"], e["end"])).otherwise(e["end"])
+        return F.when(e["kind"] == 0, s).otherwise(F.struct(lo.alias("lo"), hi.alias("hi")))
+
+    def joined(ev: Column) -> Column:
+        states = _spans.scan(ev, F.struct(F.lit(-1).alias("lo"), F.lit(-1).alias("hi")), "struct<lo:int,hi:int>", walk)
+        return F.array_compact(F.zip_with(ev, states, lambda e, s: F.when(e["kind"] == 0, s)))
+
+    return F.zip_with(found, let(events, joined), lambda m, s: F.struct(*[m[c].alias(c) for c in ("at", "start", "end", "hit", "words", "lines")], s["lo"].alias("lo"), s["hi"].alias("hi")))
 
 
 def entries(text: Column, base: Column) -> Column:
     """The text's instances, once for each of their patterns."""
-    def later_part(m: Column) -> Column:
-        return F.exists(base, lambda b: (b["start"] < m["start"]) & (b["end"] > m["start"]))
 
     def last_two(words: Column) -> Column:
         return F.substring_index(F.btrim(F.regexp_replace(words, "[\\x20\\x09-\\x0D]+", " ")), " ", -2)
 
-    def with_ends(m: Column) -> Column:
+    def shaped(m: Column) -> Column:
         lines = F.regexp_replace(m["gap"], "[\\n\\r][\\x20\\x09-\\x0D]*+", f" {START} ")
-        return F.struct(m["start"].alias("start"), m["hit"].alias("hit"), last_two(m["gap"]).alias("words"), last_two(lines).alias("lines"))
+        bare = F.regexp_extract(m["hit"], "^([(\\[{\"'<]*)(.*?)[.,;:!?)\\]}\"'>]*$", 2)
+        start = m["start"] + F.char_length(F.regexp_extract(m["hit"], "^([(\\[{\"'<]*)", 1))
+        end = start + F.char_length(bare)
+        return F.struct(m["start"].alias("at"), start.alias("start"), end.alias("end"), bare.alias("hit"), last_two(m["gap"]).alias("words"), last_two(lines).alias("lines"))
 
-    def all_of(found: Column) -> Column:
+    def all_of(found: Column, paged: Column) -> Column:
         def entry(m: Column, i: Column) -> Column:
             before, first = F.get(found, i - 1), F.when(i < 2, START).otherwise(ID)
 
@@ -111,21 +130,20 @@ def entries(text: Column, base: Column) -> Column:
                 ahead = F.when(i == 0, F.lit(START)).otherwise(F.concat_ws(" ", first, before[kind], F.lit(ID)))
                 return F.lower(last_two(F.concat_ws(" ", ahead, m[kind])))
 
-            bare = F.regexp_extract(m["hit"], "^([(\\[{\"'<]*)(.*?)[.,;:!?)\\]}\"'>]*$", 2)
-            lead = F.char_length(F.regexp_extract(m["hit"], "^([(\\[{\"'<]*)", 1))
-            start = (m["start"] + lead).cast("int")
-            end = (start + F.char_length(bare)).cast("int")
-            known = F.get(F.filter(base, lambda b: (b["start"] < end) & (b["end"] > start)), F.lit(0))
-            seed = known.isNotNull()
-            instance = F.when(seed, F.substring(text, known["start"] + 1, known["end"] - known["start"])).otherwise(bare)
+            seed = m["hi"] > m["start"]
+            instance = F.when(seed, _spans.cut(paged, m["lo"], m["hi"])).otherwise(m["hit"])
             patterns = F.array_distinct(F.array(pattern("words"), pattern("lines")))
-            return F.transform(patterns, lambda p: F.struct(start.alias("start"), end.alias("end"), p.alias("pattern"), instance.alias("instance"), seed.alias("seed")))
+            return F.transform(patterns, lambda p: F.struct(m["start"].alias("start"), m["end"].alias("end"), p.alias("pattern"), instance.alias("instance"), seed.alias("seed")))
 
         return F.flatten(F.transform(found, entry))
 
-    kept = F.filter(_spans.matches(text, INSTANCE), lambda m: ~later_part(m))
-    shaped = lambda e: e["seed"] | (F.char_length(F.regexp_replace(e["instance"], "[^0-9]", "")) >= LEAST_DIGITS) | e["instance"].contains("@")
-    return F.filter(let(F.transform(kept, with_ends), all_of), shaped).cast(_ENTRY)
+    found = F.transform(_spans.matches(text, [(INSTANCE, 0)])[0], shaped)
+    # A word that begins within a span that began before it is a later part of that span.
+    kept = F.filter(let(found, lambda f: _with_spans(f, base)), lambda m: (m["lo"] >= m["at"]) | (m["hi"] <= m["at"]))
+    paged = _spans.pages(F.when(F.size(base) > 0, text).otherwise(F.lit("")))
+    held = lambda e: e["seed"] | (F.char_length(F.regexp_replace(e["instance"], "[^0-9]", "")) >= LEAST_DIGITS) | e["instance"].contains("@")
+    both = let(F.struct(kept.alias("kept"), paged.alias("paged")), lambda x: all_of(x["kept"], x["paged"]))
+    return F.filter(both, held).cast(_ENTRY)
 
 
 def trusted_patterns(graph: DataFrame, scratch: Scratch) -> DataFrame:

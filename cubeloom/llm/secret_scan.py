@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _spans, trigrams
-from ._spark import Scratch, checked, packed, text_or_empty, unpacked
+from ._spark import Scratch, checked, let, packed, text_or_empty, unpacked
 
 
 @dataclass(frozen=True)
@@ -110,16 +110,15 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, block: int =
         found = found.select(F.col("key").alias("_key"), F.col("kinds").alias("_kinds"))
         marked = marked.join(checked(found, 64 * found.count()), "_key", "left")
 
-    def verified(rank: int, r: Rule) -> Column:
-        hits = _spans.matches(F.col("_text"), r.scan or r.pattern, r.value)
-        hits = F.filter(hits, lambda m: F.char_length(m["value"]) >= r.least)
-        if r.kind in indexed:
-            hits = F.when(F.array_contains(F.col("_kinds"), r.kind), hits)
-        return F.coalesce(_spans.named(hits, rank, r.kind), F.array().cast(_spans.SPAN))
+    wanted = [F.coalesce(F.array_contains(F.col("_kinds"), r.kind), F.lit(False)) if r.kind in indexed else F.lit(True) for r in rules]
 
-    spans = [verified(rank, r) for rank, r in enumerate(rules)]
+    def verified(found: Column) -> Column:
+        long_enough = lambda rank, r: F.filter(F.get(found, rank), lambda m: F.char_length(m["value"]) >= r.least)
+        return F.array_sort(F.concat(*[_spans.named(long_enough(rank, r), rank, r.kind) for rank, r in enumerate(rules)]))
+
+    spans = let(_spans.matches(F.col("_text"), [(r.scan or r.pattern, r.value) for r in rules], wanted), verified)
     others = docs.select([F.col(f"`{c}`") for c in docs.columns if c.lower() != "secrets"])
-    return marked.select(*unpacked(others), F.array_sort(F.concat(*spans)).alias("secrets"))
+    return marked.select(*unpacked(others), spans.alias("secrets"))
 
 
 def report(docs: DataFrame) -> DataFrame:
