@@ -17,6 +17,7 @@ their own.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +32,8 @@ from ._spark import Scratch, lean
 
 CAPACITY = 1024
 END = 2
-SPECIAL = "<|endoftext|>"
+#: Runs from this length on are left to the tokenizers library.
+LONG_RUN = 1 << 14
 
 
 def tokenizer_path() -> str:
@@ -45,9 +47,20 @@ def fast_encoder(path: str):
 
     Ranks are the ids of the byte strings, which holds for files whose merges are listed in the
     order of their results' ids; that is checked, and the tokenizers library is used otherwise.
+    It also takes the texts with a run of ``LONG_RUN`` characters without a change between white
+    space and other characters, on which the faster loop's expressions run out of stack or time.
     """
     import json
 
+    from tokenizers import Tokenizer
+
+    own: list[Tokenizer] = []
+
+    def by_library(texts: list[str]) -> list[list[int]]:
+        if not own:
+            own.append(Tokenizer.from_file(path))
+        return [e.ids for e in own[0].encode_batch(texts, add_special_tokens=False)]
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -63,11 +76,13 @@ def fast_encoder(path: str):
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in k): v for k, v in vocab.items() if k not in special}
         enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        return lambda texts: [enc.encode(t, allowed_special="all") for t in texts]
-    from tokenizers import Tokenizer
+        long_run = re.compile(f"\\s{{{LONG_RUN}}}|\\S{{{LONG_RUN}}}")
+
+        def encode(texts: list[str]) -> list[list[int]]:
+            return [by_library([t])[0] if len(t) >= LONG_RUN and long_run.search(t) else enc.encode(t, allowed_special="all") for t in texts]
 
-    own = Tokenizer.from_file(path)
-    return lambda texts: [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+        return encode
+    return by_library
 
 
 @dataclass(frozen=True)
