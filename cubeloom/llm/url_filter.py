@@ -1,16 +1,21 @@
 """URL filters over a sorted digest array.
 
 Rules (host, path, verdict) are kept as one file image: 64-bit xxhash keys in ascending
-order, then the rules' strings, their places and verdicts.  Each worker memory-maps the
-image, probes it with a vectorised binary search for every (host suffix, path prefix) a url
-could fall under, and compares the stored strings in full, so equal digests of different
-strings never decide.  The longest fitting rule wins (of equal lengths the longer host).
+order, then the rules' strings, their places and verdicts.  Each worker process memory-maps
+the image once, probes it with a vectorised binary search for every (host suffix, path prefix)
+a url could fall under, and compares the stored strings in full, so equal digests of different
+strings never decide.  The longest fitting rule wins (of equal lengths the longer host).  Only
+suffixes and prefixes of lengths that some rule has are tried, so a url costs no more than the
+number of such pairs of lengths, however long it is.
 
 The image is broadcast only up to ``MOST_IMAGE_BYTES``; larger rule sets are joined on the
-digest instead (``judge_by_join``), with the same full comparison.
+digest instead (``judge_by_join``), with the same full comparison and the same results: rules
+that repeat a (host, path) count as one with the greatest of their verdicts, and a verdict may
+be any string.
 
 Null urls and urls without ``://`` have an empty host and path, which no rule fits; they get
-the default verdict.  Null and repeated ids are kept, one result per row.
+the default verdict.  Null and repeated ids are kept, one result per row; columns beside the id
+and the url are passed over.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +35,9 @@ from ._spark import lean
 
 MOST_IMAGE_BYTES = 256 << 20
 _HEAD = struct.Struct("<8sQQQ")
-_MAGIC = b"URLDIG01"
-_ASCII_LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
+_MAGIC = b"URLDIG02"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_ASCII_LOWER = str.maketrans(_UPPER, _UPPER.lower())
 #: The rules of the registered query: (host, path, verdict).
 RULES = (
     ("org", "/", "allow"),
@@ -43,32 +49,34 @@ RULES = (
 DEFAULT = "allow"
 
 
-def split_url(url: str | None) -> tuple[str, str]:
-    """Host (A-Z lower-cased) and path of a url; both empty if it is null or has no ``://``."""
-    if url is None:
-        return "", ""
-    at = url.find("://")
-    if at < 0:
-        return "", ""
-    rest = url[at + 3 :]
-    end = min((i for i in (rest.find("/"), rest.find("?"), rest.find("#")) if i >= 0), default=len(rest))
-    tail = rest[end:]
-    stop = min((i for i in (tail.find("?"), tail.find("#")) if i >= 0), default=len(tail))
-    return rest[:end].translate(_ASCII_LOWER), tail[:stop]
+def _split(pages: DataFrame, id_col: str) -> DataFrame:
+    """(id, host, path): host with A-Z lower-cased; both empty if the url is null or has no ``://``."""
+    after = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)"))
+    base = pages.select(F.col(id_col), after.alias("_rest"))
+    host = F.translate(F.coalesce(F.regexp_extract("_rest", "(?s)^([^/?#]*+)", 1), F.lit("")), _UPPER, _UPPER.lower())
+    return base.select(id_col, host.alias("host"), F.coalesce(F.regexp_extract("_rest", "(?s)^[^/?#]*+([^?#]*+)", 1), F.lit("")).alias("path"))
 
 
 def image(rules: Iterable[tuple[str, str, str]]) -> bytes:
-    """The file image of a rule set; of rules that repeat a (host, path) the last holds."""
-    last = {h.translate(_ASCII_LOWER) + p: (len(h), v) for h, p, v in rules}
-    keyed = sorted((xxhash.xxh64_intdigest(k.encode()), k, n, v) for k, (n, v) in last.items())
-    blobs = [k.encode() for _, k, _, _ in keyed]
-    lengths = sorted({len(k) - n for _, k, n, _ in keyed})
-    digests = np.array([d for d, *_ in keyed], np.uint64)
-    places = np.cumsum([0, *map(len, blobs)], dtype=np.uint64)
-    block = np.array([v == "block" for *_, v in keyed], np.uint8)
-    hosts = np.array([n for _, _, n, _ in keyed], np.uint32)
-    body = digests.tobytes() + places.tobytes() + np.array(lengths, np.uint64).tobytes() + hosts.tobytes() + block.tobytes() + b"".join(blobs)
-    return _HEAD.pack(_MAGIC, len(keyed), len(lengths), len(body)) + body
+    """The file image of a rule set; of rules that repeat a (host, path) the greatest verdict holds."""
+    most: dict[tuple[str, str], str] = {}
+    for h, p, v in rules:
+        key = (h.translate(_ASCII_LOWER), p)
+        most[key] = max(v, most.get(key, v))
+    keyed = sorted((xxhash.xxh64_intdigest((h + p).encode()), h + p, len(h), v) for (h, p), v in most.items())
+    blobs, names = [k.encode() for _, k, _, _ in keyed], sorted(set(most.values()))
+    pairs = sorted({(n, len(k) - n) for _, k, n, _ in keyed})
+    verdicts = "\n".join(v.encode("unicode_escape").decode() for v in names).encode()
+    body = (
+        np.array([d for d, *_ in keyed], np.uint64).tobytes()
+        + np.cumsum([0, *map(len, blobs)], dtype=np.uint64).tobytes()
+        + np.array(pairs, np.uint64).tobytes()
+        + np.array([n for *_, n, _ in keyed], np.uint32).tobytes()
+        + np.array([names.index(v) for *_, v in keyed], np.uint32).tobytes()
+        + verdicts
+        + b"".join(blobs)
+    )
+    return _HEAD.pack(_MAGIC, len(keyed), len(pairs), len(verdicts)) + body
 
 
 class DigestArray:
@@ -79,14 +87,17 @@ class DigestArray:
             f.write(data)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        _, n, k, _ = _HEAD.unpack_from(self.map)
+        _, n, k, v = _HEAD.unpack_from(self.map)
         at = _HEAD.size
         self.digests = np.frombuffer(self.map, np.uint64, n, at)
         self.places = np.frombuffer(self.map, np.uint64, n + 1, at := at + 8 * n)
-        self.lengths = np.frombuffer(self.map, np.uint64, k, at := at + 8 * (n + 1)).astype(int).tolist()
-        self.hosts = np.frombuffer(self.map, np.uint32, n, at := at + 8 * k)
-        self.block = np.frombuffer(self.map, np.uint8, n, at := at + 4 * n)
-        self.text = at + n
+        lengths = np.frombuffer(self.map, np.uint64, 2 * k, at := at + 8 * (n + 1)).reshape(-1, 2)
+        self.pairs = [(int(h), int(p)) for h, p in lengths]
+        self.hosts = np.frombuffer(self.map, np.uint32, n, at := at + 16 * k)
+        self.verdict = np.frombuffer(self.map, np.uint32, n, at := at + 4 * n)
+        at += 4 * n
+        self.verdicts = [x.encode().decode("unicode_escape") for x in self.map[at : at + v].decode().split("\n")]
+        self.text = at + v
 
     def string(self, i: int) -> bytes:
         return self.map[self.text + int(self.places[i]) : self.text + int(self.places[i + 1])]
@@ -107,14 +118,24 @@ class DigestArray:
         return out
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> Iterator[tuple[str, int]]:
-    """All keys under which a rule that fits could be stored, with the host's part of each."""
-    parts = host.split(".") if host else []
-    for i in range(len(parts)):
-        suffix = ".".join(parts[i:])
-        for n in lengths:
-            if n <= len(path):
-                yield suffix + path[:n], len(suffix)
+#: The image that this worker process has mapped, by its digest: tasks and operators that follow use it again.
+_mapped: dict[int, DigestArray] = {}
+
+
+def _mapped_once(data: bytes) -> DigestArray:
+    key = xxhash.xxh64_intdigest(data)
+    if key not in _mapped:
+        _mapped.clear()
+        _mapped[key] = DigestArray(data)
+    return _mapped[key]
+
+
+def candidates(host: str, path: str, pairs: list[tuple[int, int]]) -> Iterator[tuple[str, int]]:
+    """All keys under which a rule that fits could be stored, with the host's part of each; pairs: lengths of the rules' hosts and paths."""
+    n = len(host)
+    for h, p in pairs:
+        if 0 < h <= n and p <= len(path) and (h == n or host[n - h - 1] == "."):
+            yield host[n - h :] + path[:p], h
 
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, default: str = DEFAULT, id_col: str = "page_id") -> DataFrame:
@@ -128,49 +149,44 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, defau
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = DigestArray(shared.value)
+        index = _mapped_once(shared.value)
         for b in batches:
-            split = [split_url(u) for u in b.column(1).to_pylist()]
             keys, hosts, owner = [], [], []
-            for i, (host, path) in enumerate(split):
-                for key, n in candidates(host, path, index.lengths):
+            for i, (host, path) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                for key, n in candidates(host, path, index.pairs):
                     keys.append(key)
                     hosts.append(n)
                     owner.append(i)
             found = index.probe(keys, hosts)
-            best: list[tuple[int, int, int]] = [(-1, -1, -1)] * len(split)
+            best: list[tuple[int, int, int]] = [(-1, -1, -1)] * b.num_rows
             for j in np.flatnonzero(found >= 0):
                 i = owner[j]
                 best[i] = max(best[i], (len(keys[j]), hosts[j], int(found[j])))
             hit = [r for _, _, r in best]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([h for h, _ in split], pa.string()),
-                    pa.array([p for _, p in split], pa.string()),
-                    pa.array([index.string(r).decode() if r >= 0 else None for r in hit], pa.string()),
-                    pa.array([default if r < 0 else "block" if index.block[r] else "allow" for r in hit], pa.string()),
-                ],
-                names=[id_col, "host", "path", "rule", "verdict"],
-            )
+            rule = pa.array([index.string(r).decode() if r >= 0 else None for r in hit], pa.string())
+            verdict = pa.array([default if r < 0 else index.verdicts[index.verdict[r]] for r in hit], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, rule, verdict], names=[id_col, "host", "path", "rule", "verdict"])
 
-    return pages.select(id_col, "url").mapInArrow(lean(run), f"{id_col} {id_type}, host string, path string, rule string, verdict string")
+    return _split(pages, id_col).mapInArrow(lean(run), f"{id_col} {id_type}, host string, path string, rule string, verdict string")
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: str = "page_id") -> DataFrame:
-    """The same for a rule set of any size (host, path, verdict; unique by host and path): a join on digests, compared in full."""
-    after = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)"))
-    base = pages.select(id_col, after.alias("_rest"), F.monotonically_increasing_id().alias("_row"))
-    host = F.translate(F.coalesce(F.regexp_extract("_rest", "(?s)^([^/?#]*)", 1), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    path = F.coalesce(F.regexp_extract("_rest", "(?s)^[^/?#]*([^?#]*)", 1), F.lit(""))
-    base = base.select(id_col, "_row", host.alias("host"), path.alias("path"))
-    parts = F.split("host", "\\.")
-    suffixes = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.transform(parts, lambda x, i: F.array_join(F.slice(parts, i + 1, F.size(parts)), ".")))
-    prefixes = F.transform(F.sequence(F.lit(0), F.char_length("path")), lambda n: F.substring("path", F.lit(1), n))
-    cand = base.select("_row", F.explode(suffixes).alias("h"), prefixes.alias("ps")).select("_row", "h", F.explode("ps").alias("p"))
-    keyed = rules.select(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("rh"), F.col("path").alias("rp"), "verdict")
+    """The same for a rule set of any size (host, path, verdict): a join on digests, compared in full.
+
+    The driver holds the pairs of lengths that hosts and paths of rules have, never the rules.
+    """
+    keyed = rules.groupBy(F.translate("host", _UPPER, _UPPER.lower()).alias("rh"), F.col("path").alias("rp")).agg(F.max("verdict").alias("v"))
+    pairs = [(r[0], r[1]) for r in keyed.select(F.char_length("rh"), F.char_length("rp")).distinct().collect()]
+    if not pairs:
+        return _split(pages, id_col).select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    base = _split(pages, id_col).withColumn("_row", F.monotonically_increasing_id())
+    n = F.char_length("host")
+    lengths = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(p).alias("p")) for h, p in pairs])
+    fits = lambda x: (x["h"] > 0) & (x["h"] <= n) & (x["p"] <= F.char_length("path")) & ((x["h"] == n) | (F.substring("host", n - x["h"], F.lit(1)) == "."))
+    cand = base.select("_row", "host", "path", F.explode(F.filter(lengths, fits)).alias("x"))
+    cand = cand.select("_row", F.substring("host", n - F.col("x.h") + 1, F.col("x.h")).alias("h"), F.substring("path", F.lit(1), F.col("x.p")).alias("p"))
     on = (F.xxhash64("h", "p") == F.xxhash64("rh", "rp")) & (F.col("h") == F.col("rh")) & (F.col("p") == F.col("rp"))
-    rule = F.struct((F.char_length("rh") + F.char_length("rp")).alias("n"), F.char_length("rh").alias("nh"), F.concat("rh", "rp").alias("rule"), "verdict")
+    rule = F.struct((F.char_length("rh") + F.char_length("rp")).alias("n"), F.char_length("rh").alias("nh"), F.concat("rh", "rp").alias("rule"), F.col("v").alias("verdict"))
     best = cand.join(keyed, on).groupBy("_row").agg(F.max(rule).alias("best"))
     out = base.join(best, "_row", "left")
     return out.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
