@@ -18,6 +18,8 @@ _BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _MUL = _U(0x9E3779B97F4A7C15)
 _PLACES = 1 << 12
 _PLACE = _rng.integers(0, 2**63, _PLACES, dtype=np.uint64) * _U(2) + _U(1)
+#: Bytes' values under a second hash.
+_SECOND = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -77,8 +79,8 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets, side="left")
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes (A-Z as a-z if ``lower``)."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word's bytes (A-Z as a-z if ``lower``); ``second`` gives one independent of the first."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
@@ -93,7 +95,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         weight = _PLACE[place % _PLACES] * (mix(lap) | _U(1))
     else:
         weight = _PLACE[place]
-    part = _BYTE[packed] * weight
+    part = (_SECOND if second else _BYTE)[packed] * weight
     part ^= part >> _U(29)
     return mix(np.add.reduceat(part, total[:-1]) + lens.astype(np.uint64) * _MUL)
 
@@ -139,14 +141,15 @@ def inside(first: np.ndarray, n: int, k: int) -> np.ndarray:
 
 
 def sliding_min_args(x: np.ndarray, w: int) -> np.ndarray:
-    """For each window of w values the place of its least value (by the high 32 bits or more), the leftmost of equal ones.
+    """For each window of w values the place of its least value by the high 32 bits, the leftmost of equal ones.
 
-    Places ride in the low bits, so that one minimum per doubling step does both.
+    Places ride in the low bits, so that one minimum per doubling step does both.  What is
+    compared doesn't depend on the number of values, so equal windows choose alike anywhere.
     """
     n = len(x) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    low = _U((1 << min(32, len(x).bit_length())) - 1)
+    low = _U((1 << 32) - 1)
     val, step = (x & ~low) | np.arange(len(x), dtype=np.uint64), 1
     while step * 2 <= w:
         val = np.minimum(val[:-step], val[step:])

@@ -8,8 +8,13 @@ drop out; the others are extended to the next length.  At the last length the st
 window itself, and those left are the repeated windows.  The search ends early if no
 candidates survive.  Every word that a repeated window covers is removed.
 
+The last length is gone through twice: a window is removed only if it is repeated under two
+64-bit hashes of its words that are independent of each other, so that equal hashes of
+different windows don't decide (at 1e13 windows about one in two million meets another under
+one of them, none in 1e12 under both).
+
 Between levels only packed hashes and, for each document, ranges of windows move; texts are
-read again at each level.  Hashes are 64 bit.
+read again at each level.
 
 Null or word-less texts have no words.  Null or repeated ids are allowed: a row is known by
 its id and its text's hash, and rows equal in both count as copies of each other.  Empty
@@ -66,7 +71,7 @@ def slices(b: pa.RecordBatch, col: int, most: int) -> Iterator[pa.RecordBatch]:
 _ASKS = "src long, doc_ids array<bigint>, ths array<bigint>, run_doc binary, run_start binary, run_asks binary, widths binary, keys binary"
 
 
-def chosen(raw: np.ndarray, off: np.ndarray, window: int, length: int, ranges: list | None, of_bytes: bool) -> tuple[np.ndarray, ...]:
+def chosen(raw: np.ndarray, off: np.ndarray, window: int, length: int, ranges: list | None, of_bytes: bool, second: bool = False) -> tuple[np.ndarray, ...]:
     """Candidate windows of a chunk by the stretch they chose.
 
     (first place of each text, window places, their texts, place in these of the first window
@@ -76,7 +81,7 @@ def chosen(raw: np.ndarray, off: np.ndarray, window: int, length: int, ranges: l
         first, n, stretch = off, len(raw), _text.byte_window_hashes(raw, length)
     else:
         starts, ends, first = _text.words(raw, off)
-        n, stretch = len(starts), _text.window_hashes(_text.word_hashes(raw, starts, ends), length)
+        n, stretch = len(starts), _text.window_hashes(_text.word_hashes(raw, starts, ends, second=second), length)
     arg = _text.sliding_min_args(stretch, window - length + 1)
     live = _text.inside(first, n, window)[: len(arg)]
     if ranges is not None:
@@ -91,12 +96,12 @@ def chosen(raw: np.ndarray, off: np.ndarray, window: int, length: int, ranges: l
     return first, p, doc, at, _text.mix(stretch[a[at]] + np.uint64(0x2545F4914F6CDD1D))
 
 
-def _asks(window: int, length: int, narrowed: bool, of_bytes: bool):
+def _asks(window: int, length: int, narrowed: bool, of_bytes: bool, second: bool):
     """Rows (doc_id, th, text[, ranges]) to blocks of asks: for each stretch its key and how many consecutive windows chose it."""
 
     def block(src: int, ids: list, ths: list, col: pa.Array, ranges: list | None) -> list:
         raw, off = _text.string_buffers(col)
-        first, p, doc, at, keys = chosen(raw, off, window, length, ranges, of_bytes)
+        first, p, doc, at, keys = chosen(raw, off, window, length, ranges, of_bytes, second)
         widths = np.diff(np.append(at, len(p))).astype(np.uint16)
         new_run = np.ones(len(at), bool)
         new_run[1:] = (p[at[1:]] != p[at[1:] - 1] + 1) | (doc[at[1:]] != doc[at[1:] - 1])
@@ -145,9 +150,9 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def level(rows: DataFrame, window: int, length: int, narrowed: bool, scratch: Scratch, of_bytes: bool = False) -> DataFrame:
+def level(rows: DataFrame, window: int, length: int, narrowed: bool, scratch: Scratch, of_bytes: bool = False, second: bool = False) -> DataFrame:
     """One level: (doc_id, th, ranges) of the windows that survive it, a written table, one row for each id and text."""
-    asks = scratch.write(rows.mapInArrow(lean(_asks(window, length, narrowed, of_bytes)), _ASKS), f"asks{length}")
+    asks = scratch.write(rows.mapInArrow(lean(_asks(window, length, narrowed, of_bytes, second)), _ASKS), f"asks{length}")
     joined = asks.join(_repeats.repeated(asks), "src", "left")
     found = joined.mapInArrow(lean(_survivors), "doc_id long, th long, ranges binary").groupBy("doc_id", "th").agg(F.first("ranges").alias("ranges"))
     found = scratch.write(found, f"ranges{length}")
@@ -164,11 +169,11 @@ def with_ranges(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, th, text), and (doc_id, th, ranges) of their repeated windows: packed uint32 pairs [first, end) of word places."""
     scratch = Scratch(docs.sparkSession, "substring")
-    rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found, levels = None, lengths(window)
-    for length in levels:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    found, levels = None, [(n, False) for n in lengths(window)] + [(window, True)]
+    for length, second in levels:
         step = rows if found is None else with_ranges(rows, found, "inner")
-        found = level(step, window, length, found is not None, scratch)
+        found = level(step, window, length, found is not None, scratch, second=second)
         if not found.limit(1).count():
             break
     return rows, found
