@@ -7,16 +7,20 @@
    class is tied to the smallest one only; of the smallest ones a class meets, the one met
    in most bands is tried first.
 4. A tie is checked on the signatures, then confirmed on the full sets of both texts.
-5. Confirmed links are closed by alternating large-star and small-star.
-6. Buckets in which several components still meet are reopened: members of different
-   components are compared there in blocks on fine sketches (the least digest of each of
-   ``BINS`` bins of the set), and similar ones confirmed on the full sets, so that a link
-   missed by step 3 is found.  A pair is tried in the first band that both share, and at most
-   the ``k`` most similar partners of a class in a bucket at first; as long as that bound cut
-   something off, the step is repeated on what is still apart with a larger one.
-
-Two texts without a common bucket are not compared; at similarity 0.75 that has the
-probability (1 - 0.75**4)**32 = 5e-6.
+5. Confirmed links are closed by alternating large-star and small-star.  The classes of the
+   texts of one id are linked from the start.
+6. Buckets in which several components still meet are reopened.  One of up to ``BLOCK`` members
+   is compared as it is: members of different components on fine sketches (the least digest of
+   each of ``BINS`` bins of the set), and similar ones are confirmed on the full sets, so that a
+   link missed by step 3 is found.  A larger one is split by finer bands first (``FINER`` of 8,
+   then 16, ... other minima), so that no bucket is compared by all its pairs.  A pair is tried
+   at most with the ``k`` most similar partners of a class in a bucket at first; as long as that
+   bound cut something off, the step is repeated on what is still apart with a larger one.
+
+What isn't compared: two texts without a common bucket, at similarity 0.75 with probability
+(1 - 0.75**4)**32 = 5e-6, in a bucket of over ``BLOCK`` without a common finer bucket, at most
+``MISS`` (1e-5); and pairs whose sketches agree in less than the least share that
+``DEVIATIONS`` (6) standard deviations under 0.75 allow for their number of filled places.
 
 Null or word-less texts have an empty set, link with nothing and are kept.  A null id can't
 be named: its component is null, it is kept and links with nothing.  Rows that repeat an id
@@ -33,18 +37,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import Scratch, checked, lean, tasks
+from ._spark import BROADCAST_BYTES, Scratch, checked, lean, tasks
 from .components import connected_components
 
 WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
-#: Share of equal minima below which a pair isn't confirmed on the full sets (4.5 deviations under 0.75).
-LEAST_ESTIMATE = 0.58
-#: Fine sketches: bins, and the share of equal ones below which a pair isn't confirmed (5 deviations under 0.75).
+#: A pair isn't confirmed on the full sets if its sketches agree so many standard deviations less than at similarity 0.75.
+DEVIATIONS = 6
+#: Bins of fine sketches.
 BINS = 1024
-LEAST_FINE = 0.68
+#: Minima in each finer band of a bucket of over BLOCK members, at first and more in each round after that, and the chance that a pair of similarity 0.75 shares none of the finer bands.
+FINER_ROWS, MORE_ROWS, MISS = 8, 4, 1e-5
 #: Members of a bucket compared in one block, and members of a leader confirmed in one group.
 BLOCK = 2048
 CHUNK = 256
@@ -142,12 +147,17 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(key.ravel().view(np.int64))], names=["rep", "key"])
 
 
+def least_share(places: np.ndarray | int) -> np.ndarray:
+    """The share of equal ones among so many places below which a pair of similarity 0.75 can be ruled out."""
+    return PERCENT / 100 - DEVIATIONS * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / np.maximum(places, 1))
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures agree often enough."""
     for b in batches:
         if b.num_rows:
             same = (_signatures(b.column(2)) == _signatures(b.column(3))).mean(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(same >= LEAST_ESTIMATE))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(same >= least_share(MINIMA)))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,25 +198,24 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _reopened(k: int):
-    """For blocks of an open bucket: the k most similar members of other components for each class."""
+    """For an open bucket: the k most similar members of other components for each class."""
 
     def run(table: pa.Table) -> pa.Table:
-        reps, comps, part = (table.column(c).to_numpy() for c in ("rep", "component", "part"))
+        order = np.argsort(table.column("rep").to_numpy())
+        table = table.take(pa.array(order))
+        reps, comps = (table.column(c).to_numpy() for c in ("rep", "component"))
         bands = _signatures(table.column("sig")).reshape(-1, BANDS, ROWS)
         fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, BINS)
-        i, j, key = (table.column(c)[0].as_py() for c in ("i", "j", "key"))
-        band = key & (BANDS - 1)
-        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        band = table.column("band")[0].as_py()
         a, b, cut = [], [], False
-        for x in left:
-            other = right[comps[right] != comps[x]]
-            if not len(other):
-                continue
+        for x in range(len(reps)):
+            other = np.flatnonzero(comps != comps[x])
             full = (fine[other] | fine[x]) > 0
-            est = ((fine[other] == fine[x]) & full).sum(axis=1) / full.sum(axis=1)
-            near = est >= LEAST_FINE
+            places = full.sum(axis=1)
+            est = ((fine[other] == fine[x]) & full).sum(axis=1) / np.maximum(places, 1)
+            near = est >= least_share(places)
             other, est = other[near], est[near]
-            if band:
+            if band > 0:  # a pair is tried in the first band that both share
                 earlier = (bands[other, :band] == bands[x, :band]).all(axis=2).any(axis=1)
                 other, est = other[~earlier], est[~earlier]
             best = other[np.lexsort((reps[other], -est))]
@@ -220,67 +229,130 @@ def _reopened(k: int):
     return run
 
 
-def _open_buckets(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, rep, component, m) of the buckets (rep, key) in which components still meet; m is the bucket's size."""
+def _with_key(rows: DataFrame, per_key: DataFrame, size: str, scratch: Scratch) -> DataFrame:
+    """``rows`` (key, rep, ..) with the one row of the written ``per_key`` (key, ..) for their key; ``size`` names its number of rows.
+
+    Beyond the bound of a broadcast, a key with more than ``BLOCK`` rows is dealt out over as many places as it has blocks, so that a hot one doesn't meet in one task.
+    """
+    n = per_key.count()
+    if 32 * n <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(per_key), "key")
+    hot = scratch.write(per_key.where(F.col(size) > BLOCK).select("key", F.ceil(F.col(size) / BLOCK).cast("int").alias("_parts")), "hot")
+    spread = rows.join(checked(hot, 16 * hot.count()), "key", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    parts = F.sequence(F.lit(0), F.ceil(F.col(size) / BLOCK).cast("int") - 1)
+    return spread.join(per_key.withColumn("_part", F.explode(parts)), ["key", "_part"]).drop("_part")
+
+
+def _open_buckets(buckets: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, band, rep, component, m) of the buckets (rep, key, band) in which components still meet; m is the bucket's size."""
     placed = buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     still = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-    return placed.join(still.select("key", "m"), "key").select("key", "rep", "component", "m")
+    still = scratch.write(still.select("key", "m"), "still")
+    return scratch.write(_with_key(placed, still, "m", scratch).select("key", "band", "rep", "component", "m"), "open")
+
+
+def _stars(docs: DataFrame, classes: DataFrame, bands: DataFrame, tried: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every class of a bucket (rep, key) is tied to the bucket's least one: (buckets of two or more, pairs tried, links)."""
+    leads = bands.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("m")).where("lead <> hi").drop("hi")
+    shared = scratch.write(_with_key(bands, scratch.write(leads, "leads"), "m", scratch).select("rep", "key", "lead"), "shared")
+    met = shared.where("rep <> lead").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("n"))
+    best = met.groupBy("rep").agg(F.max(F.struct("n", (-F.col("lead")).alias("m"))).alias("x")).select(F.col("rep").alias("a"), (-F.col("x.m")).alias("b"))
+    best = scratch.write(best if tried is None else best.join(tried, ["a", "b"], "left_anti"), "best")
+    named = best.select(F.col("a").alias("rep")).union(best.select("b")).distinct()
+    sigs = scratch.write(classes.select("rep", "sig").join(checked(named, 32 * best.count()), "rep", "left_semi"), "signatures")
+    sig_of = lambda c: sigs.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"))
+    similar = best.join(sig_of("a"), "a").join(sig_of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lean(_similar), "a long, b long")
+    near = scratch.write(similar.distinct(), "stars")
+    scratch.drop(best, sigs)
+    return shared, near, scratch.write(confirmed(docs, near), "links")
+
+
+def _finer(rows: int):
+    """(rep, keys, text) to (rep, key) of finer buckets: a key with a band of so many minima under further hash functions."""
+    bands = int(np.ceil(np.log(MISS) / np.log1p(-((PERCENT / 100) ** rows))))
+    rng = np.random.Generator(np.random.PCG64(1000 + rows))
+    a = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 2**64 - 1, bands * rows, dtype=np.uint64)
+
+    def minima(s: np.ndarray) -> np.ndarray:
+        step = max(1, (1 << 18) // len(s))
+        return np.concatenate([(s[None, :] * a[i : i + step, None] + b[i : i + step, None]).min(axis=1) for i in range(0, len(a), step)]).reshape(bands, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(whole.num_rows):
+                part = whole.slice(at, 1)
+                rep, keys = part.column(0)[0].as_py(), part.column(1)[0].as_py()
+                least = minima(next(shingle_sets(part.column(2))))
+                h = np.arange(1, bands + 1, dtype=np.uint64)
+                for r in range(rows):
+                    h = _text.mix(h * np.uint64(0x9E3779B97F4A7C15) + least[:, r])
+                for key in keys:
+                    out = _text.mix(h ^ np.uint64(key & (2**64 - 1))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(bands, rep)), pa.array(out)], names=["rep", "key"])
+
+    return run
+
+
+def _finer_buckets(docs: DataFrame, large: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
+    """Finer buckets (rep, key) of buckets (rep, key)."""
+    keys = scratch.write(large.groupBy("rep").agg(F.collect_set("key").alias("keys")), "split")  # a class has as many keys as bands, at most
+    texts = docs.join(checked(keys, 16 * keys.count() + 8 * large.count()), F.col("doc_id") == F.col("rep")).select("rep", "keys", "text")
+    return scratch.write(texts.repartition(tasks(docs.sparkSession)).mapInArrow(lean(_finer(rows)), "rep long, key long").distinct(), "finer")
 
 
 def _open_pairs(open_: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """Candidate pairs (a, b) of open buckets; a row with null b says that k cut something off."""
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = open_.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    # A member of part p goes to the blocks (i, j), i <= j, with p = i or p = j.
-    blocks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))
-    rows = rows.select("key", "rep", "component", "part", F.explode(blocks).alias("block")).select("key", "rep", "component", "part", "block.i", "block.j")
-    ids = rows.select("rep").distinct()
+    ids = open_.select("rep").distinct()
     sketches = classes.select("rep", "sig", "fine").join(checked(ids, 16 * ids.count()), "rep", "left_semi")
-    return rows.join(sketches, "rep").groupBy("key", "i", "j").applyInArrow(_reopened(k), "a long, b long").distinct()
+    return open_.join(sketches, "rep").groupBy("key").applyInArrow(_reopened(k), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    sketch = scratch.write(docs.select("doc_id", "text").mapInArrow(lean(_sketches), "doc_id long, n long, f1 long, f2 long, sig binary, fine binary"), "sketch")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketch = scratch.write(docs.mapInArrow(lean(_sketches), "doc_id long, n long, f1 long, f2 long, sig binary, fine binary"), "sketch")
     live = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     least = sketch.where(live).groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     members = scratch.write(sketch.select("doc_id", "n", *[F.when(live, F.col(c)).alias(c) for c in ("f1", "f2")]).join(least, ["f1", "f2"], "left").select("doc_id", "n", "rep"), "members")
+    # An id with several texts belongs to all their classes and ties them together.
+    tied = members.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("hi")).where("v <> hi")
+    tied = scratch.write(members.join(tied.select("doc_id", "v"), "doc_id").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct(), "tied")
     # Sketches stay where they were written; only ids move to pick out those of classes.
     reps = scratch.write(members.where("doc_id = rep").select("rep").distinct(), "reps")
     classes = sketch.where(live).withColumnRenamed("doc_id", "rep").join(checked(reps, 16 * reps.count()), "rep", "left_semi")
     bands = classes.select("rep", "sig").mapInArrow(lean(_bands), "rep long, key long")
-    leads = bands.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("hi")).where("lead <> hi").drop("hi")
-    shared = scratch.write(bands.join(leads, "key").select("rep", "key", "lead"), "shared")
-    met = shared.where("rep <> lead").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("n"))
-    best = met.groupBy("rep").agg(F.max(F.struct("n", (-F.col("lead")).alias("m"))).alias("x")).select(F.col("rep").alias("a"), (-F.col("x.m")).alias("b"))
-    best = scratch.write(best, "best")
-    named = best.select(F.col("a").alias("rep")).union(best.select("b")).distinct()
-    sigs = scratch.write(classes.select("rep", "sig").join(checked(named, 32 * best.count()), "rep", "left_semi"), "signatures")
-    sig_of = lambda c: sigs.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"))
-    similar = best.join(sig_of("a"), "a").join(sig_of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lean(_similar), "a long, b long")
-    tried = scratch.write(similar.distinct(), "stars")
-    scratch.drop(best, sigs)
-    links = scratch.write(confirmed(docs, tried), "links")
+    shared, tried, links = _stars(docs, classes, bands, None, scratch)
+    links = links.union(tied)
     comps = scratch.write(connected_components(links, scratch), "components")
-    k = 4
-    buckets = shared.select("rep", "key")
+    buckets = shared.select("rep", "key", F.col("key").bitwiseAND(BANDS - 1).cast("int").alias("band"))
+    k, rows = 4, FINER_ROWS
     while True:
-        open_ = scratch.write(_open_buckets(buckets, comps), "open")
-        if not open_.limit(1).count():
-            break
-        found = scratch.write(_open_pairs(open_, classes, k), "pairs")
+        open_ = _open_buckets(buckets, comps, scratch)
+        large, small = open_.where(F.col("m") > BLOCK), open_.where(F.col("m") <= BLOCK)
+        found = scratch.write(_open_pairs(small, classes, k), "pairs")
         more = scratch.write(found.where("b is not null").join(tried, ["a", "b"], "left_anti"), "more")
-        cut = bool(found.where("b is null").limit(1).count())
+        cut, split = bool(found.where("b is null").limit(1).count()), bool(large.limit(1).count())
+        new = []
         if more.limit(1).count():
-            new = scratch.write(confirmed(docs, more), "links")
-            links, tried = links.union(new), tried.union(more)
+            tried = tried.union(more)
+            new.append(scratch.write(confirmed(docs, more), "links"))
+        buckets = small.select("rep", "key", "band") if cut else small.select("rep", "key", "band").limit(0)
+        if split:
+            finer, near, tied = _stars(docs, classes, _finer_buckets(docs, large.select("rep", "key"), rows, scratch), tried, scratch)
+            tried = tried.union(near)
+            new.append(tied)
+            buckets = buckets.union(finer.select("rep", "key", F.lit(-1).alias("band")))
+            rows += MORE_ROWS
+        for x in new:
+            links = links.union(x)
+        if new:
             comps = scratch.write(connected_components(links, scratch), "components")
-        if not cut:
+        if not cut and not split:
             break
-        buckets = open_.select("rep", "key")
-        k *= 16
+        k *= 16 if cut else 1
     scratch.drop(sketch, shared)
     named = members.select("doc_id", "n", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
