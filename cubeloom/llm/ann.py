@@ -1,21 +1,28 @@
 """Approximate nearest neighbours: one hierarchical navigable small-world graph per shard.
 
 Equal vectors are one node with the list of their ids, so large groups of copies neither
-break the graph nor fill an answer.  Nodes are dealt to shards of about ``SHARD`` by a hash;
+break the graph nor fill an answer.  Nodes are dealt to shards of up to about ``SHARD`` by a hash;
 each shard's graph is built in bulk: levels by a geometric draw, for every level the nearest
 nodes of the level by blocked matrix products, thinned by the diversity rule and made
 mutual, all stored as flat int32 neighbour arrays.  Queries walk down the levels and run a
 beam search on the lowest, all queries of a block in step.  Each shard returns its best; the
 best of all shards are ranked by exact double-precision distance on the original vectors.
 
+Graphs never move: the queries, a stated set, are broadcast in blocks of ``QUERY_BYTES``, each
+graph is loaded once for a block, and a task merges the answers of all the graphs it reads, so
+that what is shuffled are k answers for each query and task.
+
 Vectors that are null, zero, or hold null or non-finite components take no part; vectors of
-another length are searched among their own length only.  An empty table gives an empty
-result.
+another length are searched among their own length only.  Rows that repeat an id are one
+candidate at the least of their distances, listed once; as a query they ask with the least of
+their vectors.  Rows with a null id take no part.  Other columns are passed over.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +32,14 @@ from pyspark.sql import functions as F
 
 from ._spark import Scratch, lean, tasks
 
-SHARD = 4096
+SHARD = 16384
 NEIGHBOURS = 24
 NEAR = 64
 BEAM = 96
 K = 10
+#: Queries searched in step, and bytes of queries broadcast at once.
 QUERY_BLOCK = 256
+QUERY_BYTES = 32 << 20
 
 
 def _nearest(x: np.ndarray, k: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
@@ -182,37 +191,71 @@ def _index(table: pa.Table) -> pa.Table:
     table = table.take(pa.array(order))
     x = np.frombuffer(b"".join(table.column("vec").to_pylist()), np.float64).reshape(-1, dim)
     ids = table.column("ids").to_pylist()
-    graph = build(x.astype(np.float32))
+    exponent = int(np.frexp(np.abs(x).max())[1])
+    graph = build(_scaled(x, exponent))
     cut = np.cumsum([0, *map(len, ids)])
-    blob = _pack(graph | {"exact": x, "cut": cut, "ids": np.array([i for g in ids for i in g], np.int64)})
+    blob = _pack(graph | {"exact": x, "exponent": np.array(exponent), "cut": cut, "ids": np.array([i for g in ids for i in g], np.int64)})
     return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "graph": pa.array([blob], pa.binary())})
 
 
-def _answers(width: int, k: int):
+def _scaled(x: np.ndarray, exponent: int) -> np.ndarray:
+    """x / 2**exponent in single precision: squares of components up to 1 can't overflow."""
+    return np.ldexp(x, -exponent).astype(np.float32)
+
+
+def _merged(qid: np.ndarray, vid: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best answers with different ids of each query; ties to smaller ids."""
+    order = np.lexsort((score, vid, qid))
+    qid, vid, score = qid[order], vid[order], score[order]
+    fresh = np.ones(len(qid), bool)
+    fresh[1:] = (qid[1:] != qid[:-1]) | (vid[1:] != vid[:-1])  # of rows that repeat an id the nearest
+    qid, vid, score = qid[fresh], vid[fresh], score[fresh]
+    order = np.lexsort((vid, score, qid))
+    qid, vid, score = qid[order], vid[order], score[order]
+    place = np.arange(len(qid)) - np.searchsorted(qid, qid)
+    keep = place < k
+    return qid[keep], vid[keep], score[keep]
+
+
+def _answers(queries, width: int, k: int):
+    """Graphs to their answers for a block of queries {dim: (ids, vectors)}, merged over the graphs a task reads."""
+
+    def one(g: dict[str, np.ndarray], qid: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        exact, cut, ids, exponent = g.pop("exact"), g.pop("cut"), g.pop("ids"), int(g.pop("exponent"))
+        count = np.minimum(np.diff(cut), k + 1)  # ids ascend: of equal vectors the smallest come first
+        out = []
+        # A query far beyond a shard's own range isn't told apart in single precision: it is held against every node.
+        far = np.abs(q).max(axis=1) > np.ldexp(1.0, min(1023, exponent + 20))
+        near = np.full((len(q), max(1, min(width, len(exact)))), -1, np.int64)
+        if not far.all():
+            near[~far] = search(g, _scaled(q[~far], exponent), width)
+        for i in range(len(qid)):
+            nodes = np.arange(len(exact)) if far[i] else np.unique(near[i][near[i] >= 0])
+            s = np.sqrt(((exact[nodes] - q[i]) ** 2).sum(axis=1))
+            lost = ~np.isfinite(s)
+            if lost.any():  # squares beyond double precision
+                s[lost] = [math.dist(exact[n], q[i]) for n in nodes[lost]]
+            mine = np.concatenate([ids[cut[n] : cut[n] + count[n]] for n in nodes] or [np.zeros(0, np.int64)])
+            score = np.repeat(s, count[nodes])
+            other = mine != qid[i]
+            out.append((np.full(int(other.sum()), qid[i]), mine[other], score[other]))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = queries.value
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         for b in batches:
             for row in range(b.num_rows):
-                g = dict(np.load(io.BytesIO(b.column(0)[row].as_py())))
-                exact, cut, ids = g.pop("exact"), g.pop("cut"), g.pop("ids")
-                qid = np.array(b.column(1)[row].as_py(), np.int64)
-                q = np.frombuffer(b.column(2)[row].as_py(), np.float64).reshape(len(qid), -1)
-                near = search(g, q.astype(np.float32), width)
-                out_q, out_v, out_s = [], [], []
-                for i in range(len(qid)):
-                    nodes = np.unique(near[i][near[i] >= 0])
-                    if not len(nodes):
-                        continue
-                    s = np.sqrt(((exact[nodes] - q[i]) ** 2).sum(axis=1))
-                    mine = np.concatenate([ids[cut[n] : cut[n + 1]][: k + 1] for n in nodes])  # ids ascend: of equal vectors the smallest come first
-                    score = np.repeat(s, [min(k + 1, cut[n + 1] - cut[n]) for n in nodes])
-                    other = mine != qid[i]
-                    mine, score = mine[other], score[other]
-                    best = np.lexsort((mine, score))[:k]
-                    out_q.append(np.full(len(best), qid[i]))
-                    out_v.append(mine[best])
-                    out_s.append(score[best])
-                if out_q:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
+                dim = b.column(0)[row].as_py()
+                if dim not in asked:
+                    continue
+                graph = dict(np.load(io.BytesIO(b.column(1)[row].as_py())))
+                for at in range(0, len(asked[dim][0]), QUERY_BLOCK):
+                    found = one(dict(graph), asked[dim][0][at : at + QUERY_BLOCK], asked[dim][1][at : at + QUERY_BLOCK])
+                    best = [np.concatenate(c) for c in zip(best, _merged(*found, k))]
+                best = list(_merged(*best, k))
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -259,14 +302,33 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, width: int =
     dealt = single.union(merged).join(F.broadcast(shards_of), "dim").withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards")).cast("int"))
     graphs = dealt.select("dim", "shard", "vec", "ids").groupBy("dim", "shard").applyInArrow(_index, "dim int, shard int, graph binary")
     graphs = scratch.write(graphs, "graphs")
-    asked = prepared(queries).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))))
-    asked = asked.groupBy("dim", "block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "vec"))).alias("qs"))
-    blocks = asked.join(F.broadcast(shards_of), "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.col("qs.vec_id").alias("qids"), F.col("qs.vec").alias("vecs"))
-    met = blocks.join(graphs.hint("shuffle_hash"), ["dim", "shard"])
-    met = met.select("graph", "qids", F.concat(F.lit(b""), F.aggregate("vecs", F.lit(b""), lambda a, v: F.concat(a, v))).alias("vecs"))
-    found = met.repartition(tasks(spark)).mapInArrow(lean(_answers(width, k)), "query_id long, vec_id long, score double")
+    # Of rows that repeat a query's id, the least vector asks.
+    asked = prepared(queries).groupBy("vec_id").agg(F.min(F.struct("dim", "vec")).alias("v")).select("vec_id", "v.dim", "v.vec")
+    asked = scratch.write(asked, "queries")
+    n_bytes = asked.agg(F.sum(F.octet_length("vec") + 8)).first()[0] or 0
+    blocks = -(-n_bytes // QUERY_BYTES)
+    found = None
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow()
+        shared = spark.sparkContext.broadcast(_by_dim(rows))
+        one = graphs.select("dim", "graph").mapInArrow(lean(_answers(shared, width, k)), "query_id long, vec_id long, score double")
+        one = scratch.write(one, "found")
+        found = one if found is None else found.union(one)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    least = found.repartition(tasks(spark), "query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return least.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _by_dim(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """A block of queries (vec_id, dim, vec) by their length."""
+    ids, dims, vecs = rows.column("vec_id").to_numpy(), rows.column("dim").to_numpy(), rows.column("vec").to_pylist()
+    out = {}
+    for dim in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == dim)
+        out[dim] = (ids[at], np.frombuffer(b"".join([vecs[i] for i in at]), np.float64).reshape(len(at), dim))
+    return out
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
