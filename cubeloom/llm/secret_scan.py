@@ -67,9 +67,10 @@ def _key() -> Column:
 
 def posting_lists(docs: DataFrame, grams: list[str], blocks: int) -> DataFrame:
     """The inverted index: (block, gram, posting: sorted distinct keys)."""
-    low = F.lower(text_or_empty())
-    named = F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams])
-    found = docs.select(_key().alias("key"), F.explode(F.array_compact(named)).alias("gram"))
+    low = docs.select(_key().alias("key"), F.lower(text_or_empty()).alias("low"))
+    # The text is looked through once per gram within one generated loop; only hits become rows with their gram's name.
+    hits = low.select("key", F.posexplode(F.array(*[F.contains("low", F.lit(g)) for g in grams])).alias("at", "hit")).where("hit")
+    found = hits.select("key", F.element_at(F.array(*map(F.lit, grams)), F.col("at") + 1).alias("gram"))
     found = found.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
     return found.groupBy("block", "gram").agg(F.array_sort(F.collect_set("key")).alias("posting"))
 
