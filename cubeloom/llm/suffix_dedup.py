@@ -10,9 +10,14 @@ document with a smaller id.
    first in a block and then in a shard, only the smallest document's is searched; the others
    are removed as a whole.
 3. In a shard, documents come in ascending order of id, in batches.  A batch gets a suffix
-   array (its strings' places in byte order), is merge-scanned against every level of the
-   index, and its new strings become a level; levels of about equal size merge, so there are
-   at most log2(batches) of them.  Strings are compared byte by byte, never by hash.
+   array: the places of its strings in the shared bytes of its fragments, in byte order, sorted
+   by eight bytes at a time and only as far as strings are still alike.  It is merge-scanned
+   against the suffix array of every level of the index, and its new strings become a level
+   (bytes and places); levels of about equal size are merged in one pass over both, so there
+   are at most log2(batches) of them.  Strings are compared byte by byte, never by hash.
+
+``add_batch`` keeps the levels between calls: each takes a further batch of documents and returns
+the levels for the caller to store.
 
 Null text counts as empty.  A null id has no order: such rows lose nothing and take nothing
 from others.  Rows that repeat an id are parts of one document.  Empty tables give empty
@@ -23,11 +28,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
@@ -36,54 +42,130 @@ from .substring_dedup import BYTES_CHUNK, chosen, level, slices, with_ranges
 
 WINDOW = 50
 STRETCH = 16
-#: Strings in a batch, and in a shard, about.
+#: Strings in a batch, in a shard, and in a block of a merge-scan, about.
 BATCH = 1 << 17
 SHARD = 1 << 20
+SCAN = 1 << 15
+
+
+@dataclass
+class Run:
+    """Distinct strings of ``window`` bytes in byte order: their places in shared bytes."""
+
+    data: np.ndarray
+    places: np.ndarray
+    window: int
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def string(self, i: int) -> bytes:
+        at = int(self.places[i])
+        return self.data[at : at + self.window].tobytes()
+
+    def strings(self, lo: int, hi: int) -> np.ndarray:
+        """Strings lo to hi as fixed-width values: copied out for a block only."""
+        return np.lib.stride_tricks.sliding_window_view(self.data, self.window)[self.places[lo:hi]].view(f"S{self.window}").ravel()
+
+    def below(self, value: bytes, lo: int) -> int:
+        """How many strings are at most ``value``, at least the first ``lo``."""
+        hi = len(self)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (mid + 1, hi) if self.string(mid) <= value else (lo, mid)
+        return lo
+
+
+def suffix_array(data: np.ndarray, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, fresh): places by their strings of ``window`` bytes, equal ones as they came, and which of these are the first of equal ones."""
+    n = len(places)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    order, first, alike = np.arange(n), np.zeros(n, np.int64), np.ones(n, bool)
+    for at in range(0, window, 8):
+        slots = np.flatnonzero(alike)
+        if len(slots) < 2:
+            break
+        key = np.lib.stride_tricks.sliding_window_view(padded, 8)[places[order[slots]] + at].view(">u8").ravel().astype(np.uint64)
+        key >>= np.uint64(8 * max(0, at + 8 - window))
+        by = np.lexsort((key, first[slots])) if at else np.argsort(key, kind="stable")
+        order[slots], key, group = order[slots][by], key[by], first[slots]
+        new = np.ones(len(slots), bool)
+        new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(slots)))
+        first[slots] = np.repeat(slots[starts], sizes)
+        alike[slots] = np.repeat(sizes > 1, sizes)
+    return order, first == np.arange(n)
+
+
+def merge_scan(level: Run, run: Run) -> tuple[np.ndarray, np.ndarray]:
+    """For each string of ``run`` how many of ``level`` are less, and whether it is one of them: one pass over both, block by block."""
+    at, held, done = np.zeros(len(run), np.int64), np.zeros(len(run), bool), 0
+    for lo in range(0, len(level), SCAN):
+        if done == len(run):
+            break
+        hi = min(lo + SCAN, len(level))
+        block = level.strings(lo, hi)
+        end = run.below(level.string(hi - 1), done)
+        for a in range(done, end, SCAN):
+            b = min(a + SCAN, end)
+            mine = run.strings(a, b)
+            place = np.searchsorted(block, mine)
+            at[a:b], held[a:b] = lo + place, block[np.minimum(place, len(block) - 1)] == mine
+        done = end
+    at[done:] = len(level)
+    return at, held
+
+
+def merged(a: Run, b: Run) -> Run:
+    """Both runs' strings, which differ, in one order."""
+    at, _ = merge_scan(a, b)
+    out = np.empty(len(a) + len(b), np.int64)
+    mine = np.zeros(len(out), bool)
+    mine[at + np.arange(len(b))] = True
+    out[mine], out[~mine] = b.places + len(a.data), a.places
+    return Run(np.concatenate([a.data, b.data]), out, a.window)
 
 
 class IndexFamily:
-    """Levels of sorted distinct strings; sizes fall by half at least from one level to the next."""
+    """Levels of distinct strings; sizes fall by half at least from one level to the next."""
 
     def __init__(self) -> None:
-        self.levels: list[np.ndarray] = []
+        self.levels: list[Run] = []
 
-    def holds(self, ordered: np.ndarray) -> np.ndarray:
-        """Merge-scan: which of some sorted strings are in any level."""
-        found = np.zeros(len(ordered), bool)
+    def holds(self, run: Run) -> np.ndarray:
+        """Which strings of a run are in any level."""
+        found = np.zeros(len(run), bool)
         for x in self.levels:
-            at = np.minimum(np.searchsorted(x, ordered), len(x) - 1)
-            found |= x[at] == ordered
+            found |= merge_scan(x, run)[1]
         return found
 
-    def add(self, ordered: np.ndarray) -> None:
-        """A new level of sorted distinct strings that no level holds; levels of about equal size merge."""
-        if not len(ordered):
+    def add(self, run: Run) -> None:
+        """A new level of strings that no level holds; levels of about equal size merge."""
+        if not len(run):
             return
-        self.levels.append(ordered)
+        self.levels.append(run)
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-            both = np.concatenate([self.levels.pop(), self.levels.pop()])
-            both.sort(kind="stable")  # two sorted runs: one merge
-            self.levels.append(both)
+            b, a = self.levels.pop(), self.levels.pop()
+            self.levels.append(merged(a, b))
 
 
-def repeated_later(strings: np.ndarray, docs: np.ndarray, batch: int = BATCH) -> np.ndarray:
-    """Which strings (fixed-width bytes) are also there with a smaller document; docs ascend."""
-    out = np.zeros(len(strings), bool)
-    family = IndexFamily()
+def repeated_later(data: np.ndarray, places: np.ndarray, docs: np.ndarray, window: int, batch: int = BATCH, family: IndexFamily | None = None) -> np.ndarray:
+    """Which strings (ascending places in ``data``) are also there with a smaller document, or in ``family``, which takes up the others; docs ascend."""
+    out = np.zeros(len(places), bool)
+    family = IndexFamily() if family is None else family
     border = np.append(np.flatnonzero(np.diff(docs)) + 1, len(docs))  # batches end between documents
     a = 0
-    while a < len(strings):
+    while a < len(places):
         b = int(border[min(np.searchsorted(border, a + batch), len(border) - 1)])
-        v, d = strings[a:b], docs[a:b]
-        order = np.argsort(v, kind="stable")  # the batch's suffix array; equal strings in order of document
-        sv = v[order]
-        fresh = np.ones(len(sv), bool)
-        fresh[1:] = sv[1:] != sv[:-1]
+        begin = places[a]
+        part, at, d = data[begin : places[b - 1] + window], places[a:b] - begin, docs[a:b]
+        order, fresh = suffix_array(part, at, window)
         group = np.cumsum(fresh) - 1
-        own = sv[fresh]
+        own = Run(part, at[order[fresh]], window)
         old = family.holds(own)
         out[a + order] = old[group] | (d[order] > d[order[fresh]][group])
-        family.add(own[~old])
+        family.add(Run(part, own.places[~old], window))
         a = b
     return out
 
@@ -92,12 +174,12 @@ _FRAGMENTS = "shard int, src long, docs binary, ths binary, f_doc binary, f_star
 _NAMES = ["shard", "src", "docs", "ths", "f_doc", "f_start", "f_width", "bytes"]
 
 
-def _fragments(window: int, shards: int):
+def _fragments(window: int, shards: int, narrowed: bool = True):
     def block(src: int, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = part.column(0).to_numpy(zero_copy_only=False)
         ths = part.column(1).to_numpy(zero_copy_only=False)
         raw, off = _text.string_buffers(part.column(2))
-        first, p, doc, at, keys = chosen(raw, off, window, STRETCH, part.column(3).to_pylist(), True)
+        first, p, doc, at, keys = chosen(raw, off, window, STRETCH, part.column(3).to_pylist() if narrowed else None, True)
         if not len(at):
             return
         width = np.diff(np.append(at, len(p)))
@@ -146,8 +228,8 @@ def _hits(src: int, docs: bytes, ths: bytes, f_doc: np.ndarray, lo: np.ndarray,
     return [src, take(docs), take(ths), again.astype(np.uint32).tobytes(), lo.astype(np.uint32).tobytes(), hi.astype(np.uint32).tobytes()]
 
 
-def _search(window: int):
-    def shard_rows(rows: list[dict]) -> Iterator[list]:
+def _shard_hits(window: int):
+    def shard_rows(rows: list[dict], family: IndexFamily | None = None) -> Iterator[list]:
         f_doc = [np.frombuffer(r["f_doc"], np.uint32).astype(np.int64) for r in rows]
         f_start = [np.frombuffer(r["f_start"], np.uint32).astype(np.int64) for r in rows]
         f_width = [np.frombuffer(r["f_width"], np.uint16).astype(np.int64) for r in rows]
@@ -169,13 +251,13 @@ def _search(window: int):
             later[i] = least.setdefault(blob[lo : lo + n], d) < d
         del least
         order = order[~later[order]]
-        w = width[order]
-        total = np.cumsum(w) - w
-        inner = np.arange(int(w.sum())) - np.repeat(total, w)
+        w, n = width[order], size[order]
+        data = np.frombuffer(b"".join([blob[lo : lo + k] for lo, k in zip(at[order].tolist(), n.tolist())]), np.uint8)
+        del blob
+        inner = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
         frag = np.repeat(order, w)
-        strings = np.lib.stride_tricks.sliding_window_view(np.frombuffer(blob, np.uint8), window)[at[frag] + inner].view(f"S{window}").ravel()
-        hit = repeated_later(strings, ids[frag])
-        del strings
+        hit = repeated_later(data, np.repeat(np.cumsum(n) - n, w) + inner, ids[frag], window, family=family)
+        del data
         whole = np.flatnonzero(later)
         inner = np.concatenate([inner[hit], np.arange(int(width[whole].sum())) - np.repeat(np.cumsum(width[whole]) - width[whole], width[whole])])
         frag = np.concatenate([frag[hit], np.repeat(whole, width[whole])])
@@ -194,6 +276,12 @@ def _search(window: int):
             if len(mine):
                 yield _hits(r["src"], r["docs"], r["ths"], doc[f[mine]], lo[mine], hi[mine])
 
+    return shard_rows
+
+
+def _search(window: int):
+    shard_rows = _shard_hits(window)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[dict]) -> Iterator[pa.RecordBatch]:
             for values in shard_rows(rows):
@@ -277,10 +365,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_bytes: bool = Fal
     dealt = sent.withColumn("deal", F.when(F.col("shard") < 0, F.xxhash64("src")).otherwise(F.col("shard").cast("long")))
     dealt = dealt.repartition(tasks(spark), "deal").drop("deal").sortWithinPartitions("shard")
     hits = dealt.mapInArrow(lean(_search(window)), _HITS)
+    out = _told(spark, rows, hits, window, with_bytes, scratch)
+    scratch.drop(found)
+    return out
+
+
+def _told(spark: SparkSession, rows: DataFrame, hits: DataFrame, window: int, with_bytes: bool, scratch: Scratch) -> DataFrame:
+    """Rows (doc_id, th, text) without the bytes that hits cover, as ``remove_repeats`` returns them."""
     grouped = hits.groupBy("src").agg(F.collect_list(F.struct("docs", "ths", "h_doc", "lo", "hi")).alias("hits")).select("hits")
     removed = grouped.mapInArrow(lean(_per_document), "doc_id long, th long, ranges binary")
     removed = scratch.write(removed.groupBy("doc_id", "th").agg(F.first("ranges").alias("ranges")), "removed")
-    scratch.drop(found)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
     return with_ranges(rows, removed, "left").select("doc_id", "text", "ranges").mapInArrow(lean(_cut(window, with_bytes)), schema)
 
@@ -293,3 +387,48 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pair = np.frombuffer(r, np.uint32).reshape(-1, 2).astype(np.int64)
             n += int((pair[:, 1] - pair[:, 0]).sum())
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+
+_LEVELS = "shard int, level int, data binary, places binary"
+
+
+def _extended(window: int):
+    """A shard's new fragments and stored levels to its hits (kind 0) and its levels after them (kind 1)."""
+    shard_rows = _shard_hits(window)
+    hit_kinds = [pa.int64(), *[pa.binary()] * 5]
+
+    def run(key: tuple, new: pa.Table, stored: pa.Table) -> pa.Table:
+        family = IndexFamily()
+        for r in sorted(stored.to_pylist(), key=lambda r: r["level"]):
+            family.levels.append(Run(np.frombuffer(r["data"], np.uint8), np.frombuffer(r["places"], np.int64), window))
+        hits = list(shard_rows(new.to_pylist(), family)) if new.num_rows else []
+        levels = [[i, x.data.tobytes(), x.places.astype(np.int64).tobytes()] for i, x in enumerate(family.levels)]
+        n, m, shard = len(hits), len(levels), key[0].as_py()
+        columns = [pa.array([0] * n + [1] * m, pa.int32()), pa.array([shard] * (n + m), pa.int32())]
+        columns += [pa.array([None] * n + [x[i] for x in levels], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+        columns += [pa.array([x[i] for x in hits] + [None] * m, k) for i, k in enumerate(hit_kinds)]
+        return pa.Table.from_arrays(columns, names=["kind", "shard", "level", "data", "places", "src", "docs", "ths", "h_doc", "lo", "hi"])
+
+    return run
+
+
+def add_batch(docs: DataFrame, levels: DataFrame | None = None, window: int = WINDOW, shards: int = 64, with_bytes: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A new batch against an index of all strings of earlier ones: (what ``remove_repeats`` tells of its documents, the levels after it).
+
+    ``levels`` (shard, level, data, places) is what the call before returned, as the caller has
+    stored it; None starts an index.  All calls take the same ``shards``, which bounds what a task
+    holds.  The documents count as later than all before, in the order of their ids; a batch with
+    greater ids than those before gives what one call over everything gives.  The index holds
+    every string, as any may come again.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "suffix-batch")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    sent = rows.where("doc_id is not null").withColumn("ranges", F.lit(None).cast("binary")).mapInArrow(lean(_fragments(window, shards, False)), _FRAGMENTS)
+    sent = scratch.write(sent, "fragments")
+    levels = spark.createDataFrame([], _LEVELS) if levels is None else levels
+    both = sent.where("shard >= 0").groupBy("shard").cogroup(levels.groupBy("shard"))
+    both = scratch.write(both.applyInArrow(_extended(window), "kind int, " + _LEVELS + ", " + _HITS), "levels")
+    own = sent.where("shard < 0").mapInArrow(lean(_search(window)), _HITS)
+    hits = both.where("kind = 0").select(own.columns).union(own)
+    return _told(spark, rows, hits, window, with_bytes, scratch), both.where("kind = 1").select("shard", "level", "data", "places")
