@@ -10,9 +10,12 @@ first, so that what is left in the end is mostly short.  Pairs are
 folded within small buckets first; the buckets' leftovers fall into fewer buckets, level by
 level, until one is left per source and is rounded by itself.
 
-Draws hash (seed, level, document): reruns agree whatever the partitioning.  Null text has
-size 0; null sources are one source, the last; repeated ids are documents of their own;
-documents of size 0 take part but count no words.  An empty table gives an empty result.
+Rows equal in source, id and text are one item due as many times the copies, which its rows
+share as evenly as they can, so that no number of them, nor of null ids, makes a bucket large.
+Draws hash (seed, level, item): reruns agree whatever the partitioning.  Null text has
+size 0; null sources are one source, the last; rows that repeat an id with another text are
+documents of their own; documents of size 0 take part but count no words.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -20,12 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, checked, packed, text_or_empty, unpacked, words_of
+from ._spark import Scratch, checked, packed, tasks, text_or_empty, unpacked, words_of
 
 MOST_COPIES = 3
 SEED = 17
-#: Documents in a bucket of one level, about.
+#: Documents in a bucket of one level, about, and equal rows handled at once.
 BUCKET = 64
+ROWS = 4096
 _EPS = 1e-9
 
 
@@ -80,19 +84,19 @@ def _fold(items: Column, level: int, seed: int) -> Column:
     return F.aggregate(items, first, step)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
-    """``docs`` with size, source_size, target and copies."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
+def _items(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, th, size, source_size, target, rows, copies): the rows equal in source, id and text (its digest th), and the copies they take together."""
     size = F.size(words_of(text_or_empty())).cast("long")
-    sized = scratch.write(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(text_or_empty()).alias("th"), F.monotonically_increasing_id().alias("row")), "sized")
-    plan = scratch.write(targets(sized, weights, most), "targets")
-    due = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(text_or_empty()).alias("th"))
+    items = sized.groupBy("source", "doc_id", "th", "size").agg(F.count(F.lit(1)).alias("rows"))
+    items = scratch.write(items.withColumn("row", F.monotonically_increasing_id()), "items")
+    plan = scratch.write(targets(items.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, most), "targets")
+    due = items.join(plan, items["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    whole = F.floor(ratio + _EPS)
-    due = scratch.write(due.withColumn("base", whole.cast("int")).withColumn("p", F.greatest(ratio - whole, F.lit(0.0))), "due")
-    # The order of documents within a source: by hash of id and size, so that reruns agree.
-    live = due.where(F.col("p") > _EPS).select("source", F.struct(F.col("row"), F.xxhash64(F.lit(seed), "doc_id", "size").alias("ord"), "size", "p").alias("item"), "n")
+    whole = F.floor(ratio * F.col("rows") + _EPS)
+    due = scratch.write(due.withColumn("base", whole).withColumn("p", F.greatest(ratio * F.col("rows") - whole, F.lit(0.0))), "due")
+    # The order of items within a source: by hash of what tells them apart, so that reruns agree.
+    live = due.where(F.col("p") > _EPS).select("source", F.struct(F.col("row"), F.xxhash64(F.lit(seed), "doc_id", "size", "th").alias("ord"), "size", "p").alias("item"), "n")
     settled, level = [], 0
     largest = plan.agg(F.max("n")).first()[0] or 0
     while True:
@@ -112,7 +116,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_
     for s in settled[1:]:
         ups = ups.union(s)
     out = due.join(ups, "row", "left")
-    return out.select("row", "doc_id", "th", "size", "source_size", "target", (F.col("base") + F.coalesce("up", F.lit(0))).cast("int").alias("copies"))
+    return out.select("row", "doc_id", "th", "size", "source_size", "target", "rows", (F.col("base") + F.coalesce("up", F.lit(0))).alias("copies"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
+    """doc_id, th (the text's digest), size, source_size, target and copies of every row of ``docs``."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    items = _items(docs, weights, most, seed, scratch)
+    names = ("doc_id", "th", "size", "source_size", "target")
+    one = items.where("rows = 1").select(*names, F.col("copies").cast("int").alias("copies"))
+    # Rows that are equal are listed from their number, in blocks, so that many of them don't come from one task.
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / F.lit(ROWS))))
+    many = items.where("rows > 1").withColumn("block", first).repartition(tasks(docs.sparkSession), "row", "block")
+    many = many.withColumn("i", F.explode(F.sequence(F.col("block") * ROWS + 1, F.least("rows", (F.col("block") + 1) * ROWS))))
+    each = F.floor(F.col("copies") / F.col("rows")) + (F.col("i") <= F.col("copies") % F.col("rows")).cast("int")
+    return one.union(many.select(*names, each.cast("int").alias("copies")))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -122,13 +140,22 @@ def report(docs: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
     """``docs`` with every row as often as the mix takes it."""
-    taken = mix(docs, weights, most, seed).groupBy("doc_id", "th").agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_m"))
-    taken = Scratch(docs.sparkSession, "mixed").write(taken, "taken")
+    scratch = Scratch(docs.sparkSession, "mixed")
+    taken = _items(docs, weights, most, seed, scratch).groupBy("doc_id", "th").agg(F.sum("copies").alias("_c"), F.sum("rows").alias("_m"))
+    taken = scratch.write(taken, "taken")
     side = checked(taken.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "_c", "_m"), 48 * taken.count())
     rows = packed(docs, "doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(text_or_empty()) == F.col("_t")))
-    alone = rows.where("_m = 1").withColumn("_n", F.col("_c"))
-    # Rows equal in id and text share their copies.
-    order = Window.partitionBy("_d", "_t").orderBy(F.lit(0))
-    equal = rows.where("_m > 1").withColumn("_n", F.floor(F.col("_c") / F.col("_m")) + (F.row_number().over(order) <= F.col("_c") % F.col("_m")).cast("int"))
-    both = alone.unionByName(equal).where("_n > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(unpacked(docs))
+    both = rows.where("_m = 1").select("_row", F.col("_c").alias("_n"))
+    if taken.where("_m > 1").limit(1).count():
+        # Rows equal in id and text share their copies by rank; a large group is ranked in blocks.
+        equal = rows.where("_m > 1").withColumn("_b", F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_m") / ROWS)))
+        equal = scratch.write(equal.select("_row", "_d", "_t", "_b", "_c", "_m"), "equal")
+        before = F.sum("n").over(Window.partitionBy("d", "t").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+        per = equal.groupBy(F.col("_d").alias("d"), F.col("_t").alias("t"), F.col("_b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        per = per.select("d", "t", "b", F.coalesce(before, F.lit(0)).alias("before"))
+        rank = F.row_number().over(Window.partitionBy("_d", "_t", "_b").orderBy(F.lit(0)))
+        ranked = equal.withColumn("_r", rank).join(per, F.col("_d").eqNullSafe(F.col("d")) & (F.col("_t") == F.col("t")) & (F.col("_b") == F.col("b")))
+        shared = F.floor(F.col("_c") / F.col("_m")) + (F.col("before") + F.col("_r") <= F.col("_c") % F.col("_m")).cast("int")
+        both = both.union(ranked.select("_row", shared.alias("_n")))
+    both = both.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    return both.select(unpacked(docs))
