@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -114,6 +114,19 @@ def small(frame: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(frame) if rows <= BROADCAST_MEMBERS else frame
 
 
+#: Members that a filter lists as literals; longer sets are joined.
+MOST_LITERALS = 500
+
+
+def within(rows: DataFrame, column: str, members: Collection[int], inside: bool = True) -> DataFrame:
+    """Rows whose member is in a set (or isn't): a pushed filter if the set is short, else a join with a small frame."""
+    if len(members) <= MOST_LITERALS:
+        fits = F.col(column).isin(sorted(members))
+        return rows.where(fits if inside else ~fits)
+    frame = local_frame(rows.sparkSession, [(m,) for m in sorted(members)], f"{column} int")
+    return rows.join(small(frame, len(members)), column, "left_semi" if inside else "left_anti")
+
+
 def member_frame(spark: SparkSession, d: Dimension) -> DataFrame:
     """(idx, id, name, kind, pinned) in visible order."""
     return local_frame(spark, [(i, m.id, m.name, m.kind, m.pinned) for i, m in enumerate(d)], "idx int, id int, name string, kind string, pinned boolean")

@@ -7,6 +7,7 @@ to even.  ``checked`` columns hold NULL where a result leaves the BIGINT range.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,31 +77,37 @@ def narrowed(wide: Column) -> Column:
     return F.when(fits(wide), wide.cast("bigint"))
 
 
-def divided(num: Column, den: Column) -> Column:
+def _same(x: Column) -> Column:
+    return x
+
+
+def divided(num: Column, den: Column, let: Callable[[Column], Column] = _same) -> Column:
     """num / den of wide integers, half to even, as BIGINT; NULL if den is 0 or the result is out of range.
 
-    DECIMAL division by ``div`` returns a BIGINT that wraps, so the range is tested first.
+    DECIMAL division by ``div`` returns a BIGINT that wraps, so the range is tested first.  Values
+    named more than once go through ``let``, which may make them columns of their own: spelled
+    out, the expression grows too long for generated code.
     """
-    num, den = num.cast(WIDE), den.cast(WIDE)
-    safe = (den != 0) & (F.abs(num) / F.greatest(F.abs(den), F.lit(1).cast(WIDE)) < F.lit(str(HIGHEST)).cast(WIDE))
-    d = F.when(safe, den).otherwise(F.lit(1).cast(WIDE))
-    n = F.when(safe, num).otherwise(F.lit(0).cast(WIDE))
-    q = F.call_function("div", n, d).cast("bigint")
-    r = (n - q.cast(WIDE) * d).cast(WIDE)
+    num, den = let(num.cast(WIDE)), let(den.cast(WIDE))
+    safe = let((den != 0) & (F.abs(num) / F.greatest(F.abs(den), F.lit(1).cast(WIDE)) < F.lit(str(HIGHEST)).cast(WIDE)))
+    d = let(F.when(safe, den).otherwise(F.lit(1).cast(WIDE)))
+    n = let(F.when(safe, num).otherwise(F.lit(0).cast(WIDE)))
+    q = let(F.call_function("div", n, d).cast("bigint"))
+    r = let((n - q.cast(WIDE) * d).cast(WIDE))
     twice, size = F.abs(r) * 2, F.abs(d)
     up = (twice > size) | ((twice == size) & (q % 2 != 0))
     sign = F.when((n < 0) != (d < 0), F.lit(-1)).otherwise(F.lit(1))
     return F.when(safe, q + F.when(up, sign).otherwise(F.lit(0)))
 
 
-def product(a: Column, b: Column) -> Column:
+def product(a: Column, b: Column, let: Callable[[Column], Column] = _same) -> Column:
     """a * b of scaled values, half to even; NULL out of range."""
-    return divided(a.cast("decimal(19,0)") * b.cast("decimal(19,0)"), F.lit(SCALE))
+    return divided(a.cast("decimal(19,0)") * b.cast("decimal(19,0)"), F.lit(SCALE), let)
 
 
-def quotient(a: Column, b: Column) -> Column:
+def quotient(a: Column, b: Column, let: Callable[[Column], Column] = _same) -> Column:
     """a / b of scaled values, half to even; NULL if b is 0 or out of range."""
-    return divided(a.cast("decimal(19,0)") * F.lit(SCALE).cast("decimal(5,0)"), b)
+    return divided(a.cast("decimal(19,0)") * F.lit(SCALE).cast("decimal(5,0)"), b, let)
 
 
 def div_half_even(num: int, den: int) -> int:

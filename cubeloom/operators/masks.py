@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..cube import Cube
+from ..cube import Cube, within
 from ..dimension import Dimension
 
 
@@ -52,5 +51,5 @@ def allowed(cube: Cube, mask: Mask, frame: DataFrame, strict: bool = True) -> Da
     for i, d in enumerate(cube.dimensions):
         gone = mask.tainted(i, d) if strict else mask.denied.get(i, frozenset())
         if gone:
-            out = out.where(~F.col(f"d{i}").isin(sorted(gone)))
+            out = within(out, f"d{i}", gone, False).select(frame.columns)
     return out

@@ -97,3 +97,9 @@ def expandable(d: Dimension) -> list[str]:
 def slug(name: str) -> str:
     """A safe file name: lower case, runs of other characters as one dash."""
     return re.sub(r"[^a-z0-9_]+", "-", name.lower()).strip("-") or "unnamed"
+
+
+def slugged(name: Column) -> Column:
+    """``slug`` as a column."""
+    bare = F.btrim(F.regexp_replace(F.lower(name), "[^a-z0-9_]+", "-"), F.lit("-"))
+    return F.when(bare == "", "unnamed").otherwise(bare)

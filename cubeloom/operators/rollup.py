@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cube import Cube, closure_frame, small
-from ..dimension import Dimension
+from ..cube import Cube, closure_frame, edge_frame, member_frame, small
+from ..dimension import LEAF, Dimension
 from ..functions import fixed
+from ..local import local_frame, written
 
 #: What can go wrong in a cell, in the order in which it is told.
 ERRORS = ("cycle", "division by zero", "overflow")
 #: Rows per fact that closures may add before sums are taken in between.
 MOST_FANOUT = 8
+#: Closures of dimensions with more members are found by Spark instead of the driver.
+DRIVER_MEMBERS = 1_000_000
 
 
 def consolidate(leaves: DataFrame, dimensions: Sequence[Dimension], region: Sequence[Sequence[int]]) -> DataFrame:
@@ -34,7 +37,7 @@ def consolidate(leaves: DataFrame, dimensions: Sequence[Dimension], region: Sequ
     now = leaves.select(*keys, F.col("v").cast(fixed.WIDE).alias("v"), *([F.when(code > 0, code).alias("err")] if has_err else []))
     closures = []
     for i, (d, members) in enumerate(zip(dimensions, region)):
-        frame, n = closure_frame(spark, d, members)
+        frame, n = _closure(spark, d, members)
         closures.append((n / max(1, len(d.leaves())), i, frame, n))
     closures.sort(key=lambda c: c[0])
     fanout = 1.0
@@ -51,6 +54,16 @@ def consolidate(leaves: DataFrame, dimensions: Sequence[Dimension], region: Sequ
     return out.select(*keys, fixed.narrowed(F.col("v")).alias("v"), err.alias("err"))
 
 
+def _closure(spark: SparkSession, d: Dimension, members: Sequence[int]) -> tuple[DataFrame, int]:
+    """(ancestor, leaf, weight) of the requested members, and its row count; found by Spark for large dimensions."""
+    if len(d) <= DRIVER_MEMBERS:
+        return closure_frame(spark, d, members)
+    known = member_frame(spark, d)
+    asked = local_frame(spark, [(m,) for m in members], "id int")
+    out = written(large_closure(spark, edge_frame(spark, d), known.where(F.col("kind") == LEAF).select("id"), asked), "closure")
+    return out, out.count()
+
+
 def _summed(rows: DataFrame, keys: list[str], has_err: bool) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum("v").cast(fixed.WIDE).alias("v"), *([F.min("err").alias("err")] if has_err else []))
 
@@ -71,7 +84,7 @@ def consolidate_fed(cube: Cube, fed: DataFrame, values: DataFrame, region: Seque
     return consolidate(support.join(values, cube.keys), cube.dimensions, region)
 
 
-def large_closure(spark, edges: DataFrame, leaves: DataFrame, ancestors: DataFrame, checkpoint) -> DataFrame:
+def large_closure(spark, edges: DataFrame, leaves: DataFrame, ancestors: DataFrame, checkpoint=written) -> DataFrame:
     """(ancestor, leaf, weight) for dimensions too large for the driver: breadth first by levels.
 
     edges (parent, child, weight, edge_ord), leaves (id), ancestors (id).  A node reached twice on

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cube import Cube, cell_schema
+from ..cube import MOST_LITERALS, Cube, cell_schema, small, within
 from ..dimension import LEAF
 from ..errors import Conflict, InvalidWrite
 from ..local import local_frame
@@ -21,12 +21,16 @@ def last_writes(writes: DataFrame, keys: Sequence[str], value: str = "v", order:
 
 def check_kinds(cube: Cube, writes: DataFrame) -> None:
     """All coordinates of a batch at numeric leaves, else the batch is refused as a whole."""
-    bad = F.lit(False)
+    marked, bad = writes, F.lit(False)
     for i, d in enumerate(cube.dimensions):
-        other = [m.id for m in d if m.kind != LEAF]
-        known = [m.id for m in d]
-        bad = bad | F.col(f"d{i}").isNull() | (F.col(f"d{i}").isin(other) if other else F.lit(False)) | (F.col(f"d{i}") > max(known, default=-1))
-    if writes.where(bad).limit(1).count():
+        leaves = [m.id for m in d if m.kind == LEAF]
+        if len(leaves) <= MOST_LITERALS:
+            fits = F.col(f"d{i}").isin(leaves)
+        else:
+            frame = local_frame(cube.spark, [(m, True) for m in leaves], f"d{i} int, _k{i} boolean")
+            marked, fits = marked.join(small(frame, len(leaves)), f"d{i}", "left"), F.col(f"_k{i}")
+        bad = bad | ~F.coalesce(fits, F.lit(False))
+    if marked.where(bad).limit(1).count():
         raise InvalidWrite("a numeric cell needs numeric leaf members")
 
 
@@ -67,8 +71,8 @@ def drop_members(cube: Cube, dimension: str, members: set[int]) -> Cube:
     """Remove all cells, strings and overrides at some members of a dimension (after a structural edit)."""
     if not members:
         return replace(cube, version=cube.version + 1)
-    stays = ~F.col(f"d{cube.position(dimension)}").isin(sorted(members))
-    return replace(cube, cells=cube.cells.where(stays), strings=cube.strings.where(stays), sandboxes={k: v.where(stays) for k, v in cube.sandboxes.items()}, version=cube.version + 1)
+    stay = lambda rows: within(rows, f"d{cube.position(dimension)}", members, False)
+    return replace(cube, cells=stay(cube.cells).select(*cube.keys, "v"), strings=stay(cube.strings).select(*cube.keys, "s"), sandboxes={k: stay(v).select(*cube.keys, "v") for k, v in cube.sandboxes.items()}, version=cube.version + 1)
 
 
 def edited(cube: Cube, dimension: str, edit: str, *args, **kw) -> Cube:

@@ -15,12 +15,12 @@ are raised only for cells that were asked for.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cube import Cube, cell_schema, small
+from ..cube import Cube, cell_schema, small, within
 from ..dimension import LEAF
 from ..errors import LimitExceeded
 from ..functions import fixed
@@ -115,7 +115,7 @@ class Evaluator:
             rows = self.base(cube)
             for i, (d, s) in enumerate(zip(c.dimensions, region)):
                 if len(s) < sum(m.kind == LEAF for m in d):
-                    rows = _within(rows, f"d{i}", s)
+                    rows = within(rows, f"d{i}", s)
             return rows.select(*c.keys, "v", F.lit(None).cast("string").alias("err"))
         below = [{leaf for m in s for leaf in d.leaf_weights(m)} for d, s in zip(c.dimensions, region)]
         if not all(below):
@@ -154,8 +154,9 @@ class Evaluator:
             name = attributes[a] = f"a{len(attributes)}"
             frame = local_frame(c.spark, held, f"d{a.position} int, {name} bigint")
             rows = rows.join(small(frame, len(held)), f"d{a.position}", "left")
-        v, err = _formula(formula, names, attributes)
-        out = rows.select(*c.keys, F.when(err.isNull(), v).alias("v"), err.alias("err"))
+        stage = _Stage(rows)
+        v, err = _formula(formula, names, attributes, stage.let)
+        out = stage.rows.select(*c.keys, F.when(err.isNull(), v).alias("v"), err.alias("err"))
         return out.where("v <> 0 or err is not null")
 
     def _dense(self, c: Cube, region: Region) -> DataFrame:
@@ -182,14 +183,6 @@ class Evaluator:
         return out.distinct() if out is not None else local_frame(c.spark, [], cell_schema(c.rank, "v bigint")).select(c.keys)
 
 
-def _within(rows: DataFrame, column: str, members: frozenset[int]) -> DataFrame:
-    """Rows whose member is in a set: a pushed filter if short, else a semi-join with a small frame."""
-    if len(members) <= 500:
-        return rows.where(F.col(column).isin(sorted(members)))
-    frame = local_frame(rows.sparkSession, [(m,) for m in sorted(members)], f"{column} int")
-    return rows.join(small(frame, len(members)), column, "left_semi")
-
-
 def _attributes(x: object) -> list[AttributeNumber]:
     if isinstance(x, AttributeNumber):
         return [x]
@@ -204,10 +197,26 @@ def _attributes(x: object) -> list[AttributeNumber]:
     return []
 
 
-def _formula(x: object, names: dict[Cell, int], attributes: dict[AttributeNumber, str]) -> tuple[Column, Column]:
+Let = Callable[[Column], Column]
+
+
+class _Stage:
+    """Rows that take on values a formula names more than once as columns."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.n = rows, 0
+
+    def let(self, value: Column) -> Column:
+        name = f"_t{self.n}"
+        self.n += 1
+        self.rows = self.rows.withColumn(name, value)
+        return F.col(name)
+
+
+def _formula(x: object, names: dict[Cell, int], attributes: dict[AttributeNumber, str], let: Let) -> tuple[Column, Column]:
     """(value, error) columns of a formula: value is trusted only where the error is NULL."""
     zero, fine = F.lit(0).cast("bigint"), F.lit(None).cast("string")
-    again = lambda y: _formula(y, names, attributes)
+    again = lambda y: _formula(y, names, attributes, let)
     if isinstance(x, Constant):
         return F.lit(x.value).cast("bigint"), fine
     if isinstance(x, Cell):
@@ -226,23 +235,23 @@ def _formula(x: object, names: dict[Cell, int], attributes: dict[AttributeNumber
             wide = a.cast(fixed.WIDE) + b.cast(fixed.WIDE) if x.op == "+" else a.cast(fixed.WIDE) - b.cast(fixed.WIDE)
             out = fixed.narrowed(wide)
         else:
-            out = fixed.product(a, b) if x.op == "*" else fixed.quotient(a, b)
+            out = let(fixed.product(a, b, let) if x.op == "*" else fixed.quotient(a, b, let))
         zero_by = F.when(b == 0, F.lit("division by zero")) if x.op == "/" else fine
         return out, F.coalesce(before, zero_by, F.when(out.isNull(), F.lit("overflow")))
     if isinstance(x, lang.Choice):
-        c, ec = _condition(x.condition, names, attributes)
+        c, ec = _condition(x.condition, names, attributes, let)
         (a, ea), (b, eb) = again(x.then), again(x.otherwise) if x.otherwise is not None else (zero, fine)
         return F.when(c, a).otherwise(b), F.coalesce(ec, F.when(c, ea).otherwise(eb))
     raise TypeError(type(x))
 
 
-def _condition(x: object, names: dict[Cell, int], attributes: dict[AttributeNumber, str]) -> tuple[Column, Column]:
+def _condition(x: object, names: dict[Cell, int], attributes: dict[AttributeNumber, str], let: Let) -> tuple[Column, Column]:
     """(truth, error) of a condition; AND and OR look at the right side only if the left doesn't decide."""
     if isinstance(x, lang.Compare):
-        (a, ea), (b, eb) = _formula(x.left, names, attributes), _formula(x.right, names, attributes)
+        (a, ea), (b, eb) = _formula(x.left, names, attributes, let), _formula(x.right, names, attributes, let)
         out = {"=": a == b, "<>": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[x.op]
         return F.coalesce(out, F.lit(False)), F.coalesce(ea, eb)
-    parts = [_condition(p, names, attributes) for p in x.parts]
+    parts = [_condition(p, names, attributes, let) for p in x.parts]
     if x.op == "NOT":
         return ~parts[0][0], parts[0][1]
     (a, ea), (b, eb) = parts

@@ -140,6 +140,7 @@ def execute(cubes: Mapping[str, Cube], name: str, view: View, sandbox: str | Non
     cells = grid(cube, view, evaluator).persist()
     bad = cells.where("err is not null").orderBy("r", "c").limit(1).collect()
     if bad:
+        cells.unpersist()
         raise CellError(bad[0]["err"])
     row_names, column_names = _tuples(cube, rows), _tuples(cube, columns)
     if not row_names or not column_names:
@@ -192,9 +193,8 @@ def select(cubes: Mapping[str, Cube], text: str, **kw) -> Cellset:
 def long_form(cube: Cube, view: View, cells: DataFrame) -> DataFrame:
     """Cells (r, c, v) with the members' names as columns, one per dimension on an axis."""
     rows, columns, _ = _placed(cube, view, Mask())
-    left, _ = _axis_frame(cube, rows, "r")
-    right, _ = _axis_frame(cube, columns, "c")
-    out = cells.join(F.broadcast(left), "r").join(F.broadcast(right), "c")
+    (left, n), (right, m) = _axis_frame(cube, rows, "r"), _axis_frame(cube, columns, "c")
+    out = cells.join(small(left, n), "r").join(small(right, m), "c")
     for at, _ in (*rows, *columns):
         d = cube.dimensions[at]
         names = local_frame(cube.spark, [(m.id, m.name) for m in d], f"d{at} int, `{d.name}` string")

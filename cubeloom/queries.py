@@ -15,7 +15,7 @@ from . import examples as ex
 from .cube import Cube, attribute_frame, edge_frame, member_frame, with_names
 from .flow import import_rows
 from .functions import fixed
-from .local import local_frame
+from .local import local_frame, scratch_path
 from .mdx import language as mdx
 from .mdx import sets
 from .operators import masks, overlay, rollup, spread, writes
@@ -203,11 +203,12 @@ def diamond_rollup(spark, sf_dir):
     return shown(cube, rollup.consolidate(cube.cells, cube.dimensions, [ids(cube, "Part", ["All Parts"]), all_of(cube, "Measure")]), "Measure")
 
 
-@query("closure_large", f"SELECT anc AS ancestor, leaf, {B('1')} AS weight FROM (SELECT n_name AS leaf, n_name AS anc FROM nation UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, 'World' FROM nation)")
+@query("closure_large", f"WITH pair AS (SELECT DISTINCT p_brand AS b, p_type AS t, p_brand || '/' || p_type AS leaf FROM part) SELECT anc AS ancestor, leaf, {B('1')} AS weight FROM (SELECT leaf, leaf AS anc FROM pair UNION ALL SELECT leaf, 'brand ' || b FROM pair UNION ALL SELECT leaf, 'type ' || t FROM pair UNION ALL SELECT leaf, 'All Parts' FROM pair)")
 def closure_large(spark, sf_dir):
-    d = ex.geo(spark, sf_dir)
+    """All ancestors' leaves over a diamond, level by level as frames."""
+    d = ex.parts(spark, sf_dir).dimension("Part")
     m = member_frame(spark, d)
-    found = rollup.large_closure(spark, edge_frame(spark, d), m.where("kind = 'leaf'").select("id"), m.select("id"), lambda f: f.persist())
+    found = rollup.large_closure(spark, edge_frame(spark, d), m.where("kind = 'leaf'").select("id"), m.select("id"))
     n = m.select("id", "name")
     return found.join(n.withColumnsRenamed({"id": "ancestor", "name": "a"}), "ancestor").join(n.withColumnsRenamed({"id": "leaf", "name": "l"}), "leaf").select(F.col("a").alias("ancestor"), F.col("l").alias("leaf"), "weight")
 
@@ -234,12 +235,12 @@ def view_explicit_members(spark, sf_dir):
     return grid_frame(cube, _region_view(cube)).withColumnRenamed("v", "v4")
 
 
-@query("view_nested_rows", f"WITH {FACTS}, seg AS (SELECT c_mktsegment AS s, row_number() OVER (ORDER BY c_mktsegment) - 1 AS j FROM (SELECT DISTINCT c_mktsegment FROM customer)), {_REGIONS_VIEW} SELECT {B('r * (SELECT count(*) FROM seg) + j')} AS r, {B('0')} AS c, {B('coalesce(sum(gross), 0)')} AS v4 FROM regions_v CROSS JOIN seg LEFT JOIN facts ON facts.region = regions_v.region AND segment = s AND period = '1996-02' GROUP BY r, j")
+@query("view_nested_rows", f"WITH {FACTS}, seg AS (SELECT c_mktsegment AS s, row_number() OVER (ORDER BY c_mktsegment) - 1 AS j FROM (SELECT DISTINCT c_mktsegment FROM customer)), {_REGIONS_VIEW} SELECT {B('r * (SELECT count(*) FROM seg) + j')} AS r, {B('0')} AS c, {B('coalesce(sum(gross), 0)')} AS v4 FROM regions_v CROSS JOIN seg LEFT JOIN facts ON facts.region = regions_v.region AND segment = s GROUP BY r, j")
 def view_nested_rows(spark, sf_dir):
     cube = ex.sales(spark, sf_dir)
     segments = names_of(cube, "Segment", all_of(cube, "Segment", ["leaf"]))
     base = _region_view(cube)
-    view = views.View((*base.rows, views.Axis("Segment", segments)), (views.Axis("Measure", ("Gross",)),), (("Period", "1996-02"),))
+    view = views.View((*base.rows, views.Axis("Segment", segments)), (views.Axis("Measure", ("Gross",)),), (("Period", "All Years"),))
     return grid_frame(cube, view).withColumnRenamed("v", "v4")
 
 
@@ -326,9 +327,8 @@ PRICE = "['Measure':'Price'] = IF value['Measure':'Quantity'] = 0 THEN 0 ELSE va
 BAND = "['Measure':'Band'] = IF value['Measure':'Quantity'] > 500 AND NOT value['Measure':'Discount'] > 30000 THEN 2 ELSE IF value['Measure':'Quantity'] > 100 THEN 1;"
 
 
-def leaf_rule(cube: Cube, name: str, measure: str, months: str | None = None) -> DataFrame:
-    months_ids = [m.id for m in cube.dimension("Period") if m.kind == "leaf" and (months is None or m.name.startswith(months))]
-    region = [all_of(cube, "Geo", ["leaf"]), months_ids, all_of(cube, "Segment", ["leaf"]), ids(cube, "Measure", [measure])]
+def leaf_rule(cube: Cube, measure: str) -> DataFrame:
+    region = [*(all_of(cube, d, ["leaf"]) for d in ("Geo", "Period", "Segment")), ids(cube, "Measure", [measure])]
     return shown(cube, Evaluator({cube.name: cube}).values(cube.name, region), "Geo", "Period", "Segment")
 
 
@@ -340,22 +340,22 @@ def half_even(num: str, den: str) -> str:
 
 @query("rule_leaf", f"WITH {FACTS} SELECT geo, period, segment, gross - disc AS v4 FROM facts WHERE gross - disc <> 0")
 def rule_leaf(spark, sf_dir):
-    return leaf_rule(ex.sales(spark, sf_dir, NET), "rule_leaf", "Net")
+    return leaf_rule(ex.sales(spark, sf_dir, NET), "Net")
 
 
 @query("rule_mul_half_even", f"WITH {FACTS} SELECT * FROM (SELECT geo, period, segment, {half_even('gross::HUGEINT * 725', '10000')} AS v4 FROM facts) WHERE v4 <> 0")
 def rule_mul_half_even(spark, sf_dir):
-    return leaf_rule(ex.sales(spark, sf_dir, TAX), "rule_mul", "Tax")
+    return leaf_rule(ex.sales(spark, sf_dir, TAX), "Tax")
 
 
 @query("rule_div_half_even", f"WITH {FACTS} SELECT * FROM (SELECT geo, period, segment, {half_even('gross::HUGEINT * 10000', 'qty')} AS v4 FROM facts WHERE qty <> 0) WHERE v4 <> 0")
 def rule_div_half_even(spark, sf_dir):
-    return leaf_rule(ex.sales(spark, sf_dir, PRICE), "rule_div", "Price")
+    return leaf_rule(ex.sales(spark, sf_dir, PRICE), "Price")
 
 
 @query("rule_if_else", f"WITH {FACTS} SELECT * FROM (SELECT geo, period, segment, {B('CASE WHEN qty > 5000000 AND NOT disc > 300000000 THEN 20000 WHEN qty > 1000000 THEN 10000 ELSE 0 END')} AS v4 FROM facts) WHERE v4 <> 0")
 def rule_if_else(spark, sf_dir):
-    return leaf_rule(ex.sales(spark, sf_dir, BAND), "rule_if", "Band")
+    return leaf_rule(ex.sales(spark, sf_dir, BAND), "Band")
 
 
 @query("rule_rollup_of_rule", f"WITH {FACTS}, {GEO} SELECT g AS geo, {B('sum(v)')} AS v4 FROM (SELECT geo, {half_even('gross::HUGEINT * 725', '10000')} AS v FROM facts) f JOIN geo ON f.geo = leaf GROUP BY g HAVING sum(v) <> 0")
@@ -376,19 +376,19 @@ def rule_override(spark, sf_dir):
 @query("rule_first_match", f"WITH {FACTS} SELECT * FROM (SELECT geo, period, segment, CASE WHEN yr = '1996' THEN disc ELSE gross END AS v4 FROM facts) WHERE v4 <> 0")
 def rule_first_match(spark, sf_dir):
     rules = "['Measure':'Net', 'Period':{descendants of '1996'}] = value['Measure':'Discount'];\n['Measure':'Net'] = value['Measure':'Gross'];"
-    return leaf_rule(ex.sales(spark, sf_dir, rules), "rule_first", "Net")
+    return leaf_rule(ex.sales(spark, sf_dir, rules), "Net")
 
 
-@query("rule_attrnum", f"WITH {FACTS}, n AS (SELECT n_name, n_nationkey AS k FROM nation) SELECT * FROM (SELECT geo, period, segment, {half_even('qty::HUGEINT * k * 10000', '10000')} AS v4 FROM facts JOIN n ON n_name = geo WHERE yr = '1996') WHERE v4 <> 0")
+@query("rule_attrnum", f"WITH {FACTS}, n AS (SELECT n_name, n_nationkey AS k FROM nation) SELECT * FROM (SELECT geo, period, segment, {half_even('qty::HUGEINT * k * 10000', '10000')} AS v4 FROM facts JOIN n ON n_name = geo) WHERE v4 <> 0")
 def rule_attrnum(spark, sf_dir):
     rules = "['Measure':'Scored'] = value['Measure':'Quantity'] * AttrNum('Geo', 'Key');"
-    return leaf_rule(ex.sales(spark, sf_dir, rules), "rule_attrnum", "Scored", "1996")
+    return leaf_rule(ex.sales(spark, sf_dir, rules), "Scored")
 
 
 @query("rule_area_predicate", f"WITH {FACTS}, n AS (SELECT n_name, n_nationkey AS k FROM nation) SELECT geo, period, segment, gross AS v4 FROM facts JOIN n ON n_name = geo WHERE k < 5 AND gross <> 0")
 def rule_area_predicate(spark, sf_dir):
     rules = "['Measure':'Net', 'Geo':@'Key' < 5] = value['Measure':'Gross'];"
-    return leaf_rule(ex.sales(spark, sf_dir, rules), "rule_area", "Net")
+    return leaf_rule(ex.sales(spark, sf_dir, rules), "Net")
 
 
 @query("rule_cross_cube", f"WITH {FACTS}, w AS (SELECT {B('sum(gross)')} AS w FROM facts) SELECT n_name AS geo, 'World Gross' AS metric, w AS v4 FROM nation, w")
@@ -399,10 +399,10 @@ def rule_cross_cube(spark, sf_dir):
     return shown(targets, Evaluator({"Sales": sales, "Targets": targets}).values("Targets", region), "Geo", "Metric")
 
 
-@query("rule_chained", f"WITH {FACTS} SELECT * FROM (SELECT geo, period, segment, {half_even('(gross - disc)::HUGEINT * 725', '10000')} AS v4 FROM facts WHERE yr = '1995') WHERE v4 <> 0")
+@query("rule_chained", f"WITH {FACTS} SELECT * FROM (SELECT geo, period, segment, {half_even('(gross - disc)::HUGEINT * 725', '10000')} AS v4 FROM facts) WHERE v4 <> 0")
 def rule_chained(spark, sf_dir):
     rules = NET + "\n['Measure':'Tax'] = value['Measure':'Net'] * 0.0725;"
-    return leaf_rule(ex.sales(spark, sf_dir, rules), "rule_chained", "Tax", "1995")
+    return leaf_rule(ex.sales(spark, sf_dir, rules), "Tax")
 
 
 @query("feeders_inferred", f"WITH {FACTS} SELECT geo, period, segment FROM facts WHERE gross <> 0 OR disc <> 0")
@@ -543,7 +543,7 @@ def batch_last_write_wins(spark, sf_dir):
 
 @query("csv_import", f"SELECT e AS kind, {B('max_by(CAST(ROUND(value * 10000) AS BIGINT), event_id)')} AS v4 FROM (SELECT event_type AS e, value, event_id FROM events) GROUP BY e HAVING max_by(CAST(ROUND(value * 10000) AS BIGINT), event_id) <> 0")
 def csv_import(spark, sf_dir):
-    """Rows with texts only: members are made, and the last row of a coordinate wins."""
+    """CSV files: members are made, and the last row of a coordinate wins."""
     from .dimension import Dimension
     from .engine import Engine
 
@@ -551,7 +551,9 @@ def csv_import(spark, sf_dir):
     kind, metric = Dimension("Kind"), Dimension("Metric")
     metric.add("Value")
     engine.create_cube("Events", [kind, metric])
-    rows = readers.as_text(ex.table(spark, sf_dir, "events").select("event_id", "event_type", F.format_string("%.4f", "value").alias("value")))
+    path = scratch_path(spark, "events")
+    ex.table(spark, sf_dir, "events").select("event_id", "event_type", F.format_string("%.4f", "value").alias("value")).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    rows = readers.read_csv(spark, path)
     cube = import_rows(engine, "Events", rows.withColumn("n", F.col("event_id").cast("bigint")), {"Kind": "event_type"}, "value", {"Metric": "Value"}, "n")
     return with_names(cube, cube.cells).select(F.col("Kind").alias("kind"), F.col("v").alias("v4"))
 
@@ -671,3 +673,6 @@ def leaves_only(spark, sf_dir):
 
     d = ex.geo(spark, sf_dir)
     return without_children(member_frame(spark, d), edge_frame(spark, d)).select("name")
+
+
+from . import model_queries  # noqa: E402, F401  registers its queries

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..cube import Cube, cell_schema, small
 from ..dimension import LEAF
-from ..local import local_frame
+from ..local import local_frame, written
 from ..plans.regions import Evaluator
 from .compiled import Cell, CompiledRule, base_potent, cells_of, compile_rules
 
@@ -60,11 +60,11 @@ def _fed_by(cube: Cube, cell: Cell, targets: list[list[int]], potent: DataFrame)
     return out.select(*[F.col(f"_t{i}").alias(f"d{i}") for i in range(cube.rank)])
 
 
-def infer(cubes: Mapping[str, Cube], name: str, checkpoint=lambda f: f.persist()) -> Inference:
+def infer(cubes: Mapping[str, Cube], name: str, checkpoint=written) -> Inference:
     """All leaf targets that are fed: everywhere for rules with a base term, else where an input may be non-zero.
 
     Newly fed leaves feed on, so rules that read rules are covered; each round adds cells and the
-    loop ends when none is added.
+    loop ends when none is added.  ``checkpoint`` writes a frame and reads it back.
     """
     cube = cubes[name]
     opaque, rounds, whole = [], [], []

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cube import Cube, cell_schema
+from ..cube import Cube, cell_schema, small
 from ..dimension import LEAF
 from ..functions import fixed
 from ..local import local_frame
@@ -48,7 +48,7 @@ def _values(e: Evaluator, cube: str, coordinates: Sequence[tuple[int, ...]]) ->
         return {}
     region = [frozenset(x[i] for x in coordinates) for i in range(c.rank)]
     asked = local_frame(c.spark, coordinates, cell_schema(c.rank, "").rstrip(", "))
-    found = e.values(cube, region).join(F.broadcast(asked), c.keys, "left_semi").collect()
+    found = e.values(cube, region).join(small(asked, len(coordinates)), c.keys, "left_semi").collect()
     at = {tuple(x[k] for k in c.keys): x["v"] or 0 for x in found}
     return {x: at.get(x, 0) for x in coordinates}
 
@@ -94,6 +94,6 @@ def contributions(e: Evaluator, cube: str, at: Sequence[int]) -> DataFrame:
     weight = F.lit(1).cast("bigint")
     for i, w in enumerate(below):
         frame = local_frame(c.spark, list(w.items()), f"d{i} int, _w{i} bigint")
-        out = out.join(F.broadcast(frame), f"d{i}")
+        out = out.join(small(frame, len(w)), f"d{i}")
         weight = weight * F.col(f"_w{i}")
     return out.select(*c.keys, "v", weight.alias("weight"))
