@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .cube import Cube
 from .dimension import Dimension
-from .errors import CubeError, InvalidEdit, UnknownName
+from .errors import Conflict, CubeError, InvalidEdit, UnknownName
 from .functions import fixed
+from .local import written
 from .mdx import language as mdx
 from .mdx import sets
 from .operators import overlay, spread, writes
@@ -30,6 +31,8 @@ from .store import Store
 
 MOST_CACHED_CELLS = 1 << 20
 SAVED_POOL, ADHOC_POOL = 256, 64
+#: Without a store, every so many versions a cube's cells are written out, so that plans don't grow.
+MOST_NESTED = 16
 
 
 class ViewCache:
@@ -64,6 +67,8 @@ class Engine:
         self.shared: dict[str, Shared] = {}
         self.automation: dict[str, dict[str, object]] = {"flow": {}, "flow_test": {}, "connection": {}, "job": {}}
         self.events: list[tuple[int, str, str, int]] = []
+        #: (cube, stream) -> the last batch of a stream that was committed.
+        self.batches: dict[tuple[str, str], int] = {}
         self._saved, self._adhoc = ViewCache(SAVED_POOL), ViewCache(ADHOC_POOL)
 
     # Cubes
@@ -81,6 +86,11 @@ class Engine:
         """Make a cube the current version, stored first if there is a store."""
         if self.store:
             cube = self.store.commit(cube, base)
+        elif cube.version % MOST_NESTED == MOST_NESTED - 1:
+            cube = replace(cube, cells=written(cube.cells, "cells"))
+        return self._current(cube, kind)
+
+    def _current(self, cube: Cube, kind: str) -> Cube:
         if cube.name in self.models:
             self.models[cube.name].cube = cube
         else:
@@ -155,11 +165,20 @@ class Engine:
             return self.publish(overlay.write(c, sandbox, listed), "sandbox")
         for at, _ in listed:
             c.check_write(at)
-        return self.publish(writes.write_cells(c, writes.batch(c, listed), base, check=False))
+        return self._write(c, writes.batch(c, listed), base)
+
+    def _write(self, c: Cube, frame: DataFrame, base: int | None, note: dict | None = None) -> Cube:
+        """A checked batch as the next version: a delta where there is a store."""
+        if base is not None and base != c.version:
+            raise Conflict(f"{c.name} is at version {c.version}, not {base}")
+        if self.store:
+            return self._current(self.store.append(c, frame, base, note), "cells")
+        return self.publish(writes.write_cells(c, frame, base, check=False))
 
-    def write_frame(self, cube: str, frame: DataFrame, base: int | None = None) -> Cube:
-        """One atomic batch of any size: (d0.., v, ord)."""
-        return self.publish(writes.write_cells(self.cube(cube), frame, base))
+    def write_frame(self, cube: str, frame: DataFrame, base: int | None = None, note: dict | None = None) -> Cube:
+        """One atomic batch of any size: (d0.., v, ord); ``note`` is stored with the version."""
+        writes.check_kinds(self.cube(cube), frame)
+        return self._write(self.cube(cube), frame, base, note)
 
     def write_string(self, cube: str, at: dict[str, str], text: str) -> Cube:
         c = self.cube(cube)

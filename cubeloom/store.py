@@ -1,6 +1,11 @@
 """Versioned storage: every commit writes a new immutable directory and then names it current.
 
-    <root>/<cube>/v00000007/{cells,strings,sandbox-<name>,meta.json}
+    <root>/<cube>/v00000007/{cells,strings,sandbox-<name>,meta.json}   a whole cube
+    <root>/<cube>/v00000008/{delta,meta.json}                          cells written since
+
+Batches of cells are appended as deltas, which cost what they hold; a reader takes the newest
+value of each coordinate over the last whole version and the deltas since, of which there are
+at most ``MOST_DELTAS``: the next batch then writes the cube as a whole.
 
 A version becomes visible when its ``meta.json`` exists; it is created last and never
 rewritten, so a commit that breaks off leaves nothing that a reader would take up.  Paths go
@@ -12,14 +17,19 @@ from __future__ import annotations
 import json
 from dataclasses import replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cube import Cube, cell_schema
 from .errors import Conflict, UnknownName
+from .operators.writes import last_writes, write_cells
 from .sources.modeltext import dimension_document, dimension_from
 
 
+#: Deltas after a whole version, at most.
+MOST_DELTAS = 32
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -60,7 +70,7 @@ class Store:
     def _at(self, cube: str, version: int) -> str:
         return f"{self.root}/{cube}/v{version:08d}"
 
-    def commit(self, cube: Cube, base: int | None = None, partition_by: str | None = None) -> Cube:
+    def commit(self, cube: Cube, base: int | None = None, partition_by: str | None = None, note: dict | None = None) -> Cube:
         """Write a cube as the next version and return it as read back.
 
         ``base`` is the version it was derived from; another current version is a conflict.
@@ -79,19 +89,54 @@ class Store:
         # Ids of members and the order of edges are kept, so cells of older versions stay readable.
         ids = {d.name: [[m.id, m.name] for m in d] for d in cube.dimensions}
         edges = {d.name: [[p, c, w] for (p, c), w in d.edges.items()] for d in cube.dimensions}
-        meta = {"name": cube.name, "rules": cube.rules, "sandboxes": sorted(cube.sandboxes), "dimensions": [dimension_document(d) for d in cube.dimensions], "ids": ids, "edges": edges}
+        meta = {"name": cube.name, "rules": cube.rules, "sandboxes": sorted(cube.sandboxes), "dimensions": [dimension_document(d) for d in cube.dimensions], "ids": ids, "edges": edges, "note": note}
         if not self._create(f"{at}/meta.json", json.dumps(meta)):
             raise Conflict(f"version {version} of {cube.name} was committed meanwhile")
         return self.load(cube.name, version)
 
+    def _meta(self, cube: str, version: int) -> dict:
+        return json.loads(self._read(f"{self._at(cube, version)}/meta.json") or "")
+
+    def _whole(self, cube: str, version: int) -> int:
+        """The whole version that a version is read from."""
+        return self._meta(cube, version).get("whole", version)
+
+    def append(self, cube: Cube, batch: DataFrame, base: int | None = None, note: dict | None = None) -> Cube:
+        """The next version: the current one with a batch (d0.., v, ord) of checked cells, last write wins, zeros delete.
+
+        ``note`` is kept with the version (the batch of a stream, say).
+        """
+        current = (self.versions(cube.name) or [0])[-1]
+        if base is not None and base != current:
+            raise Conflict(f"{cube.name} is at version {current}, not {base}")
+        if not current:
+            return self.commit(write_cells(cube, batch, check=False), note=note)
+        whole = self._whole(cube.name, current)
+        version = current + 1
+        if version - whole > MOST_DELTAS:
+            return self.commit(write_cells(self.load(cube.name, current), batch, check=False), current, note=note)
+        at = self._at(cube.name, version)
+        last_writes(batch, cube.keys).withColumn("ord", F.lit(version)).write.mode("overwrite").parquet(f"{at}/delta")
+        if not self._create(f"{at}/meta.json", json.dumps({"whole": whole, "note": note})):
+            raise Conflict(f"version {version} of {cube.name} was committed meanwhile")
+        return self.load(cube.name, version)
+
+    def noted(self, cube: str, key: str) -> object | None:
+        """The last value noted under a key, None if there is none."""
+        for v in reversed(self.versions(cube)):
+            note = self._meta(cube, v).get("note") or {}
+            if key in note:
+                return note[key]
+        return None
+
     def load(self, cube: str, version: int | None = None) -> Cube:
         """A version (the last by default)."""
         known = self.versions(cube)
         version = version if version is not None else (known or [0])[-1]
         if version not in known:
             raise UnknownName(f"no version {version} of {cube}")
-        at = self._at(cube, version)
-        meta = json.loads(self._read(f"{at}/meta.json") or "")
+        whole = self._whole(cube, version)
+        at, meta = self._at(cube, whole), self._meta(cube, whole)
         dims = []
         for doc in meta["dimensions"]:
             d = dimension_from(doc)
@@ -102,11 +147,17 @@ class Store:
         read = lambda name, schema: self.spark.read.schema(schema).parquet(f"{at}/{name}")
         keys = [f"d{i}" for i in range(n)]
         boxes = {s: read(f"sandbox-{s}", cell_schema(n)) for s in meta["sandboxes"]}
-        return Cube(cube, tuple(dims), read("cells", cell_schema(n)).select(*keys, "v"), read("strings", cell_schema(n, "s string")), meta["rules"], version, boxes)
+        cells = read("cells", cell_schema(n)).select(*keys, "v")
+        if version > whole:
+            deltas = self.spark.read.schema(cell_schema(n, "v bigint, ord int")).parquet(*[f"{self._at(cube, v)}/delta" for v in range(whole + 1, version + 1)])
+            cells = last_writes(cells.withColumn("ord", F.lit(0)).unionByName(deltas), keys).where("v <> 0")
+        return Cube(cube, tuple(dims), cells, read("strings", cell_schema(n, "s string")), meta["rules"], version, boxes)
 
     def compact(self, cube: str, keep: int = 1) -> None:
-        """Delete all but the last versions."""
-        for v in self.versions(cube)[:-keep]:
+        """Delete all but the last versions, and those that these are read from."""
+        known = self.versions(cube)
+        first = min((self._whole(cube, v) for v in known[-keep:]), default=0)
+        for v in (v for v in known if v < first):
             fs, p = self._path(self._at(cube, v))
             fs.delete(p, True)
 

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
-from ..local import local_frame
-from ..operators import writes
+from ..local import local_frame, written
 from ..operators.writes import last_writes
 
 CHANGES = "seq bigint, cube string, kind string, version bigint"
@@ -45,13 +44,17 @@ def fold(cube_cells: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
 def ingest(stream: DataFrame, engine: Engine, cube: str, to_cells: Callable[[DataFrame], DataFrame], checkpoint: str, additive: bool = True):
     """Start a query that commits each micro-batch of a stream to a cube once.
 
-    ``to_cells`` makes (d0.., v) of a batch.  Batch ids are remembered in the engine, so a batch
-    that is delivered again after a restart of the query is not counted twice.
+    ``to_cells`` makes (d0.., v) of a batch.  With a store, the number of a batch is kept with the
+    version that it made, in one step, so a batch that is delivered again is not counted twice,
+    not even by a later process.  Without one, numbers are remembered as long as the engine.
     """
-    done: set[int] = set()
+    done = engine.batches.setdefault((cube, checkpoint), -1)
+    if engine.store:
+        found = engine.store.noted(cube, checkpoint)
+        engine.batches[cube, checkpoint] = done if found is None else max(done, int(found))
 
     def commit(batch: DataFrame, number: int) -> None:
-        if number in done:
+        if number <= engine.batches[cube, checkpoint]:
             return
         c = engine.cube(cube)
         cells = to_cells(batch)
@@ -60,10 +63,10 @@ def ingest(stream: DataFrame, engine: Engine, cube: str, to_cells: Callable[[Dat
             now = mine.join(c.cells, c.keys, "left").select(*c.keys, (F.coalesce("v", F.lit(0).cast("bigint")) + F.col("d")).alias("v"))
         else:
             now = last_writes(cells, c.keys)
-        rows = [tuple(r) for r in now.select(*c.keys, "v").collect()] if engine.store is None else None
-        frame = writes.batch(c, [(r[:-1], r[-1]) for r in rows]) if rows is not None else now.withColumn("ord", F.lit(0).cast("bigint"))
-        engine.write_frame(cube, frame)
-        done.add(number)
+        now = now.withColumn("ord", F.lit(0).cast("bigint"))
+        # The batch's frame ends with the batch: without a store it is written out.
+        engine.write_frame(cube, now if engine.store else written(now, "batch"), note={checkpoint: number})
+        engine.batches[cube, checkpoint] = number
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).start()
 

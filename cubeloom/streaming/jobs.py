@@ -68,16 +68,25 @@ class Job:
 
 
 class Scheduler:
-    """Ticks on an injected clock; steps of a run stop at the first failure."""
+    """Ticks on an injected clock; steps of a run stop at the first failure.
 
-    def __init__(self, spark: SparkSession, jobs: Sequence[Job]):
-        self.spark, self.jobs, self.records = spark, {j.name: j for j in jobs}, []
+    ``path`` holds the ledger as Parquet files, one appended before and after each run, so that a
+    later process finds what ran and can ``recover``; without one, records end with the process.
+    """
+
+    def __init__(self, spark: SparkSession, jobs: Sequence[Job], path: str | None = None):
+        self.spark, self.jobs, self.path, self.records = spark, {j.name: j for j in jobs}, path, []
+        if path:
+            local_frame(spark, [], LEDGER).write.mode("append").parquet(path)
+            self.records = [tuple(r) for r in spark.read.schema(LEDGER).parquet(path).orderBy("seq").collect()]
 
     def ledger(self) -> DataFrame:
         return local_frame(self.spark, self.records, LEDGER)
 
     def _note(self, run: str, job: str, state: str, fire: int, at: int, message: str = "") -> None:
         self.records.append((len(self.records), run, job, state, fire, at, message))
+        if self.path:
+            local_frame(self.spark, self.records[-1:], LEDGER).coalesce(1).write.mode("append").parquet(self.path)
 
     def tick(self, now_ms: int) -> list[str]:
         """Fire what is due and return the run ids."""
