@@ -340,3 +340,93 @@ def test_connections(spark, tmp_path):
     assert list(cn.inputs(spark, ["echo"], known, csv="a\n1")) == ["echo"]
     text = cn.write_text(known, {"j": ("ann", 60000, True)})
     assert cn.read_text(text) == (known, {"j": ("ann", 60000, True)}) and cn.write_text(*cn.read_text(text)) == text
+
+
+def test_commits_are_deltas_until_a_whole_version_is_due(spark, tmp_path, monkeypatch):
+    from cubeloom import store as stored
+
+    monkeypatch.setattr(stored, "MOST_DELTAS", 3)
+    e = Engine(spark, Store(spark, f"file://{tmp_path}"))
+    e.publish(sales(spark))
+    for i in range(6):
+        e.write_cells("Sales", [(NORTH, str(i)), (NORTH, str(i + 1))], base=e.cube("Sales").version)
+    written = sorted(p.name for v in sorted((tmp_path / "Sales").iterdir()) for p in v.iterdir() if p.name in ("cells", "delta"))
+    assert written == ["cells", "cells", "delta", "delta", "delta", "delta", "delta"]
+    assert v(e, NORTH) == scaled(6) and v(e, TOTAL) == scaled(206)
+    assert e.store.load("Sales", 2).get_leaf((0, 0)) == scaled(1) and e.store.changes("Sales", 1, 7).count() == 1
+    e.write_cells("Sales", [(NORTH, "0")])
+    e.store.compact("Sales")
+    again = Store(spark, f"file://{tmp_path}").load("Sales")
+    assert again.version == 8 and again.get_leaf((0, 0)) == 0 and again.cells.where("d0 = 0").count() == e.cube("Sales").cells.where("d0 = 0").count()
+    (tmp_path / "Sales" / "v00000009" / "delta").mkdir(parents=True)  # a commit that broke off
+    assert e.store.load("Sales").version == 8
+    e.write_cells("Sales", [(NORTH, "9")])
+    assert v(e, NORTH) == scaled(9)
+    with pytest.raises(Conflict):
+        e.write_cells("Sales", [(NORTH, "1")], base=3)
+
+
+def test_plans_of_many_writes_stay_short(engine):
+    for i in range(40):
+        engine.write_cells("Sales", [(NORTH, str(i))])
+    plan = engine.cube("Sales").cells._jdf.queryExecution().analyzed().toString()
+    assert v(engine, NORTH) == scaled(39) and plan.count("Union") < 20
+
+
+def test_ledger_outlives_the_process(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    s = jobs.Scheduler(spark, [jobs.Job("a", "ann", 50, (lambda now: None,))], path)
+    s.tick(1000)
+    s._note("a@1050", "a", jobs.RUNNING, 1050, 1050)
+    later = jobs.Scheduler(spark, [jobs.Job("a", "ann", 50, (lambda now: None,))], path)
+    assert later.records == s.records and later.tick(1050) == []
+    assert later.recover(1060) == 1 and later.tick(1070) == ["a@1050"]
+
+
+def test_stream_batches_count_once_over_processes(spark, tmp_path):
+    rows = "d0 int, d1 int, v bigint"
+    src, root, cp = (f"file://{tmp_path}/{x}" for x in ("in", "store", "cp"))
+    e = Engine(spark, Store(spark, root))
+    e.publish(sales(spark))
+    spark.createDataFrame([(0, 0, scaled(1))], rows).coalesce(1).write.parquet(src)
+
+    def run_once(engine, checkpoint):
+        q = feed.ingest(spark.readStream.schema(rows).parquet(src), engine, "Sales", lambda b: b, cp) if checkpoint == cp else feed.ingest(spark.readStream.schema(rows).parquet(src), engine, "Sales", lambda b: b, checkpoint)
+        q.processAllAvailable()
+        q.stop()
+
+    run_once(e, cp)
+    assert v(e, NORTH) == scaled(101)
+    import shutil
+
+    shutil.rmtree(f"{tmp_path}/cp/commits")  # the batch was committed to the cube but not acknowledged
+    later = Engine(spark, Store(spark, root))
+    later.models["Sales"] = modeltext.Model(later.store.load("Sales"))
+    run_once(later, cp)
+    assert v(later, NORTH) == scaled(101)
+
+
+def test_closures_of_large_dimensions_are_found_by_spark(spark, monkeypatch):
+    from cubeloom.operators import rollup
+
+    c = sales(spark)
+    region = [[m.id for m in d if m.kind != "string"] for d in c.dimensions]
+    want = sorted(map(tuple, rollup.consolidate(c.cells, c.dimensions, region).collect()))
+    monkeypatch.setattr(rollup, "DRIVER_MEMBERS", 0)
+    assert sorted(map(tuple, rollup.consolidate(c.cells, c.dimensions, region).collect())) == want
+
+
+def test_long_member_lists_are_joined(spark, monkeypatch):
+    from cubeloom import cube as cubes
+    from cubeloom.operators import masks, writes
+
+    c = sales(spark)
+    want = writes.drop_members(c, "Region", {1}).cells.collect()
+    for m in (cubes, writes):
+        monkeypatch.setattr(m, "MOST_LITERALS", 0)
+    assert sorted(writes.drop_members(c, "Region", {1}).cells.collect()) == sorted(want)
+    assert masks.allowed(c, masks.Mask({0: [1]}), c.cells).where("d0 = 1").count() == 0
+    writes.check_kinds(c, writes.batch(c, [((0, 0), 1)]))
+    for bad in ((3, 0), (0, 4), (99, 0)):
+        with pytest.raises(InvalidWrite):
+            writes.check_kinds(c, writes.batch(c, [(bad, 1)]))
