@@ -81,6 +81,43 @@ def test_reopened_buckets_find_links_the_leaders_miss(spark, monkeypatch):
     assert [got[i]["component_id"] for i in range(30)] == roots and 1 < len(set(roots)) < 30
 
 
+def test_ids_with_several_texts_tie_their_groups(spark):
+    one, two = sentence(random.Random(1), 60), sentence(random.Random(2), 60)
+    for kind in ("long", "int"):
+        docs = spark.createDataFrame([(5, one), (2, one), (5, two), (3, two), (9, "alone here")], f"doc_id {kind}, text string")
+        got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(docs).collect())
+        assert got == [(2, 2, True), (3, 2, False), (5, 2, False), (5, 2, False), (9, 9, True)]
+
+
+def test_small_sets_at_the_bound_are_not_ruled_out():
+    """3 of 4 shingles are similarity 0.75: no sketch may rule such a pair out."""
+    rng = np.random.default_rng(3)
+    for n, own in ((3, 1), (12, 4), (60, 20), (75, 25), (300, 100), (3000, 1000)):
+        for _ in range(20000 // n):
+            x = np.unique(rng.integers(0, 2**63, n + own).astype(np.uint64) * np.uint64(2))
+            both = [x, np.sort(rng.permutation(x)[:n])]
+            fine = minhash_dedup._fine(both)
+            near, est = minhash_dedup.near_sketches(fine[:1], np.array([n + own]), fine[1], n)
+            assert near[0], (n, est)
+
+
+def test_large_buckets_are_split_by_finer_bands(spark, monkeypatch):
+    """Groups within a family that shares much of its text: buckets over the bound, keys dealt out, none lost."""
+    rng = random.Random(6)
+    shared = [f"s{rng.randint(0, 10**6)}" for _ in range(150)]
+    rows = []
+    for g in range(12):
+        own = [f"g{g}x{rng.randint(0, 10**6)}" for _ in range(75)]
+        for c in range(3):
+            rows.append((len(rows), " ".join(shared + own[: 75 - c] + [f"end{g}{c}"] * c)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, roots = groups([t for _, t in rows])
+    for name, value in (("BLOCK", 12), ("BROADCAST_BYTES", 0)):
+        monkeypatch.setattr(minhash_dedup, name, value)
+    got = by_id(minhash_dedup.near_duplicates(docs))
+    assert [got[i]["component_id"] for i in range(len(rows))] == roots and 1 < len(set(roots))
+
+
 def test_near_duplicates_odd(odd, empty):
     got = minhash_dedup.near_duplicates(odd).collect()
     assert len(got) == 8 and {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(1, 1, True), (2, 1, False), (None, None, True), (3, 3, True), (4, 4, True)}
@@ -169,6 +206,18 @@ def test_suffix_dedup(docs, texts):
     assert [tuple(got[i])[1:-1] + (bytes(got[i]["kept"]),) for i in range(len(texts))] == repeated_bytes(texts)
 
 
+def test_batches_added_to_a_stored_index(spark, docs, texts, tmp_path):
+    """Batch after batch against stored levels gives what one call over everything gives."""
+    levels, got = None, {}
+    for n, (lo, hi) in enumerate([(0, 25), (25, 26), (26, 50), (50, 50), (50, len(texts))]):
+        part = docs.where((F.col("doc_id") >= lo) & (F.col("doc_id") < hi))
+        out, levels = suffix_dedup.add_batch(part, levels, shards=3, with_bytes=True)
+        levels.write.parquet(f"file://{tmp_path}/{n}")
+        levels = spark.read.parquet(f"file://{tmp_path}/{n}")
+        got |= by_id(out)
+    assert [tuple(got[i])[1:-1] + (bytes(got[i]["kept"]),) for i in range(len(texts))] == repeated_bytes(texts)
+
+
 def test_suffix_dedup_odd(odd, empty):
     got = sorted(((r["doc_id"] or 0), r["n_removed"]) for r in suffix_dedup.remove_repeats(odd).collect())
     n = len(" ".join(f"w{i}" for i in range(80)))
@@ -176,21 +225,69 @@ def test_suffix_dedup_odd(odd, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("window", [4, 8, 13, 50])
+def test_suffix_arrays_and_runs(monkeypatch, window):
+    rng = np.random.default_rng(window)
+    monkeypatch.setattr(suffix_dedup, "SCAN", 7)
+    make = lambda n: rng.integers(0, 2, n).astype(np.uint8) * 255 if window < 9 else np.tile(rng.integers(0, 3, 20).astype(np.uint8), n // 20)
+    runs = []
+    for n in (200, 300):
+        data = make(n)
+        places = np.arange(len(data) - window + 1)
+        order, fresh = suffix_dedup.suffix_array(data, places, window)
+        strings = [data[p : p + window].tobytes() for p in places]
+        assert order.tolist() == sorted(range(len(places)), key=lambda i: (strings[i], i))
+        assert [strings[i] for i in order[fresh]] == sorted(set(strings))
+        runs.append(suffix_dedup.Run(data, order[fresh], window))
+    a, b = runs
+    mine, other = [a.string(i) for i in range(len(a))], [b.string(i) for i in range(len(b))]
+    at, held = suffix_dedup.merge_scan(a, b)
+    assert at.tolist() == [sum(x < y for x in mine) for y in other] and held.tolist() == [y in set(mine) for y in other]
+    both = suffix_dedup.merged(a, suffix_dedup.Run(b.data, b.places[~held], window))
+    assert [both.string(i) for i in range(len(both))] == sorted(set(mine) | set(other))
+
+
 @pytest.mark.parametrize("batch", [1, 7, 1000])
 def test_index_family(batch):
     rng = np.random.default_rng(batch)
     docs = np.sort(rng.integers(0, 30, 400))
-    strings = rng.integers(0, 60, 400).astype("S4")
+    data = np.frombuffer(b"".join(b"%04d" % x for x in rng.integers(0, 60, 400)), np.uint8)
+    places = np.arange(0, 1600, 4)
     first = {}
-    for s, d in zip(strings, docs):
-        first[s] = min(first.get(s, d), d)
-    assert suffix_dedup.repeated_later(strings, docs, batch).tolist() == [first[s] < d for s, d in zip(strings, docs)]
+    for p, d in zip(places, docs):
+        first.setdefault(data[p : p + 4].tobytes(), d)
+    assert suffix_dedup.repeated_later(data, places, docs, 4, batch).tolist() == [first[data[p : p + 4].tobytes()] < d for p, d in zip(places, docs)]
     family = suffix_dedup.IndexFamily()
     for i in range(64):
-        family.add(np.array([b"%04d" % i], "S4"))
+        family.add(suffix_dedup.Run(np.frombuffer(b"%04d" % i, np.uint8), np.zeros(1, np.int64), 4))
     assert len(family.levels) <= 7 and sum(map(len, family.levels)) == 64
 
 
+def test_equal_hashes_of_different_windows_do_not_decide(docs, texts, monkeypatch):
+    """With a first hash that takes words of equal length for equal, the second still tells windows apart."""
+    plain = _text.word_hashes
+
+    def weak(raw, starts, ends, lower=False, second=False):
+        return plain(raw, starts, ends, lower, True) if second else _text.mix((ends - starts).astype(np.uint64))
+
+    monkeypatch.setattr(_text, "word_hashes", weak)
+    rows = substring_dedup.repeated_windows(docs.limit(0))[1]
+    assert rows.count() == 0
+    found = []
+    for second in (False, True):
+        first, p, doc, at, keys = substring_dedup.chosen(*_text.string_buffers(__import__("pyarrow").array(texts)), 35, 35, None, False, second)
+        found.append(len(set(keys.tolist())))
+    assert found[0] < found[1]
+
+
+def test_blocks_of_any_size_choose_alike():
+    x = np.random.default_rng(2).integers(0, 2**63, 3000, dtype=np.uint64)
+    x[::7] = x[0]
+    whole = _text.sliding_min_args(x, 27)
+    for a in (0, 1, 500, 2000):
+        assert (_text.sliding_min_args(x[a : a + 100], 27) + a == whole[a : a + 74]).all()
+
+
 def test_text_primitives():
     import pyarrow as pa
 
@@ -392,6 +489,21 @@ def test_patterns_are_trusted_over_several_hops(spark):
     assert "learned" in got[len(rows) - 2]["spans"] and "learned" not in got[len(rows) - 1]["spans"]
 
 
+def test_many_matches_in_one_text(spark):
+    """Blocks of matches and pages of texts join without a seam."""
+    secret = " ".join(f"é𝒳token=abcd{i:06d}" for i in range(1500))
+    private = " ".join(f"please ring +1 (555) 126-{i:04d} é or ask 𝒳{i}" for i in range(1500)) + " please ring 5551234567"
+    docs = spark.createDataFrame([(0, secret), (1, private)], "doc_id long, text string")
+    line = lambda spans: ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+    got = by_id(secret_scan.report(docs))
+    assert got[0]["spans"] == line(secrets(secret)) and got[0]["n_assign"] == 1500
+    assert by_id(secret_scan.redact(docs))[0]["text"] == re.sub("token=[a-z0-9]+", "[SECRET]", secret)
+    found = by_id(pii.report(docs))[1]
+    assert found["base_sha256"] == hashlib.sha256(line(personal(private)).encode()).hexdigest()
+    at = private.index("5551234567")
+    assert f"learned:{at}:{at + 10}" in found["spans"].split(",")
+
+
 def test_personal_data_odd(odd, empty):
     assert pii.report(odd).count() == 8 and pii.report(empty).count() == 0
 
@@ -451,6 +563,23 @@ def test_rounding_keeps_expectations(spark):
     assert abs(sum(total[i] for i in range(30)) / n / 30 - due[0]) < 0.1
 
 
+def test_equal_rows_share_their_copies(spark, monkeypatch):
+    """Null ids and equal rows in any number: one item, its copies shared evenly, alike in every partitioning."""
+    monkeypatch.setattr(mixing, "ROWS", 16)
+    rows = [(None, "w " * 3, "a", k) for k in range(100)] + [(None, f"x{i} " * 3, "a", 0) for i in range(300)] + [(i, "y " * 40, "b", 0) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k long")
+    got = mixing.mix(docs).collect()
+    equal = [r["copies"] for r in got if r["doc_id"] is None and r["th"] == max(collections.Counter(x["th"] for x in got if x["doc_id"] is None).items(), key=lambda c: c[1])[0]]
+    assert len(got) == 430 and len(equal) == 100 and max(equal) - min(equal) <= 1
+    again = mixing.mix(docs.repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    out = mixing.apply(docs.repartition(5))
+    assert out.columns == docs.columns and out.count() == sum(r["copies"] for r in got)
+    assert out.where("text like 'w%'").count() == sum(equal)
+    sizes = sum(3 * r["copies"] for r in got if r["doc_id"] is None)
+    assert abs(sizes - got[0]["target"] if got[0]["source_size"] == 1200 else 0) <= 3 * 100
+
+
 def test_applied_mix_repeats_rows(docs, odd, empty):
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
     rows = collections.Counter(r["doc_id"] for r in mixing.apply(docs).collect())
@@ -511,6 +640,14 @@ def test_plans_keep_every_capacity(rule, most):
         assert sum(k for _, k in b) <= most.tokens and len(b) <= most.documents and sum(k * k for _, k in b) <= most.cost
 
 
+@pytest.mark.parametrize("text", [" " * 10**6, "word" + "\n" * 10**6 + "word", "\t" * 40000 + " x", "x" * 20000 + " y", " a" * 20000 + "  " * 9000])
+def test_long_runs_pack_as_the_tokenizer_has_them(text):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(packing.tokenizer_path())
+    assert packing.fast_encoder(packing.tokenizer_path())(["a b", text])[1] == own.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_odd(odd, empty):
     assert packing.pack(empty).count() == 0 and packing.pack(odd).count() == 8
     with pytest.raises(ValueError):

@@ -44,6 +44,27 @@ def test_large_rule_sets_are_joined(spark, monkeypatch):
     assert {r["page_id"]: tuple(r)[1:] for r in url_filter.judge(pages).collect()} == {i: judge(u) for i, u in enumerate(URLS)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_both_ways_judge_alike(spark, seed):
+    """Repeated rules, verdicts of any text, hosts and paths of any length."""
+    import random
+
+    rng = random.Random(seed)
+    label = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 2)))
+    host = lambda: ".".join(label() for _ in range(rng.randint(1, 4)))
+    rules = [(host().upper() if i % 5 == 0 else host(), "/" + label() * rng.randint(0, 2), rng.choice(["allow", "block", "re\nview", "é"])) for i in range(60)]
+    pages = spark.createDataFrame([(i, f"http://{host()}/{label()}{label()}?x") for i in range(200)] + [(200, "http://" + "a." * 20000 + "b/" + "a" * 30000)], "page_id long, url string")
+    most = {}
+    for h, p, v in rules:
+        most[h.lower(), p] = max(v, most.get((h.lower(), p), v))
+    image = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge(pages, rules, "none").collect()}
+    joined = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge_by_join(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), "none").collect()}
+    assert image == joined
+    for host_, path, rule, verdict in image.values():
+        fits = [(len(h) + len(p), len(h), h + p, v) for (h, p), v in most.items() if (host_ == h or host_.endswith("." + h)) and path.startswith(p)]
+        assert (rule, verdict) == (max(fits)[2:] if fits else (None, "none"))
+
+
 def test_equal_digests_are_told_apart_by_their_strings(monkeypatch):
     import xxhash
 
@@ -94,6 +115,41 @@ def test_recall_and_order(spark, vectors):
     assert [v for _, v, _ in by[150]] == [v for v, _ in exact(vectors, 150)]  # within the copies: the smallest ids
 
 
+def test_repeated_ids_are_listed_once(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 4)).round(3)
+    rows = [(i // 2, v.tolist(), "extra") for i, v in enumerate(x)] + [(0, x[0].tolist(), "extra")]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<double>, score string")
+    got = ann.neighbours(frame, frame.where("vec_id < 5")).collect()
+    for q in range(5):
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        asks = min((x[2 * q], x[2 * q + 1]), key=lambda v: v.astype("<f8").tobytes())
+        want = sorted((min(np.sqrt(((x[2 * i + j] - asks) ** 2).sum()) for j in (0, 1)), i) for i in range(20) if i != q)[:10]
+        assert [(v, s) for _, v, s in mine] == [(i, s) for s, i in want] and [r for r, *_ in mine] == list(range(1, 11))
+
+
+def test_components_of_any_size(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 6))
+    x[:100] *= 1e25
+    x[100:200] *= 1e-30
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
+    got = ann.neighbours(frame, frame.where("vec_id % 10 = 0")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(by) == 30 and all(len(v) == 10 for v in by.values())
+    assert sum(len(by[q] & {v for v, _ in exact(x, q)}) for q in range(0, 100, 10)) >= 90
+
+
+def test_queries_in_blocks_give_the_same(spark, vectors, monkeypatch):
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors[:600])], "vec_id long, vector array<float>")
+    run = lambda: sorted(map(tuple, ann.neighbours(frame, frame.where("vec_id % 20 = 0"), shard=150).collect()))
+    whole = run()
+    monkeypatch.setattr(ann, "QUERY_BYTES", 2000)
+    assert run() == whole
+
+
 def test_bad_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 2.0]), (1, [1.0, nan]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [1.0, 2.5]), (6, [1.0]), (None, [1.0, 2.0]), (7, []), (8, [float("inf"), 1.0])]
