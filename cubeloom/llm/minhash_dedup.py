@@ -19,8 +19,8 @@
 
 What isn't compared: two texts without a common bucket, at similarity 0.75 with probability
 (1 - 0.75**4)**32 = 5e-6, in a bucket of over ``BLOCK`` without a common finer bucket, at most
-``MISS`` (1e-5); and pairs whose sketches agree in less than the least share that
-``DEVIATIONS`` (6) standard deviations under 0.75 allow for their number of filled places.
+``MISS`` (1e-5); and pairs whose sketches agree ``DEVIATIONS`` (6) standard deviations less than
+at 0.75 (sketches of small sets rule a pair out with certainty only).
 
 Null or word-less texts have an empty set, link with nothing and are kept.  A null id can't
 be named: its component is null, it is kept and links with nothing.  Rows that repeat an id
@@ -46,8 +46,8 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: A pair isn't confirmed on the full sets if its sketches agree so many standard deviations less than at similarity 0.75.
 DEVIATIONS = 6
-#: Bins of fine sketches.
-BINS = 1024
+#: Bins of fine sketches, and filled ones up to which they rule a pair out with certainty only.
+BINS, FEW = 1024, 64
 #: Minima in each finer band of a bucket of over BLOCK members, at first and more in each round after that, and the chance that a pair of similarity 0.75 shares none of the finer bands.
 FINER_ROWS, MORE_ROWS, MISS = 8, 4, 1e-5
 #: Members of a bucket compared in one block, and members of a leader confirmed in one group.
@@ -147,9 +147,26 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(key.ravel().view(np.int64))], names=["rep", "key"])
 
 
-def least_share(places: np.ndarray | int) -> np.ndarray:
-    """The share of equal ones among so many places below which a pair of similarity 0.75 can be ruled out."""
-    return PERCENT / 100 - DEVIATIONS * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / np.maximum(places, 1))
+def least_share(places: np.ndarray | int, union: np.ndarray | float = np.inf) -> np.ndarray:
+    """The share of equal ones among so many places, drawn from a union of known size, below which a pair of similarity 0.75 is ruled out."""
+    unseen = 1.0 if np.isscalar(union) and np.isinf(union) else np.clip((union - places) / np.maximum(union - 1, 1), 0, 1)
+    return PERCENT / 100 - DEVIATIONS * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / np.maximum(places, 1) * unseen)
+
+
+def near_sketches(fine: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets may have similarity 0.75 with one, by fine sketches and sizes; and their estimated similarity.
+
+    In up to ``FEW`` filled bins the bound is certain: a shared element is missed by the equal
+    bins only if another one of either set has its bin, and these are counted.
+    """
+    full = (fine | one) > 0
+    places, equal = full.sum(axis=1), ((fine == one) & full).sum(axis=1)
+    est = equal / np.maximum(places, 1)
+    most = equal + (sizes - (fine > 0).sum(axis=1)) + (size - (one > 0).sum())
+    certain = 100 * most >= PERCENT * (sizes + size - most)
+    # At similarity 0.75 the sizes add up to 1.75 times the union's.
+    likely = est >= least_share(places, (sizes + size) / (1 + PERCENT / 100))
+    return np.where(places <= FEW, certain, likely), est
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,17 +220,14 @@ def _reopened(k: int):
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("rep").to_numpy())
         table = table.take(pa.array(order))
-        reps, comps = (table.column(c).to_numpy() for c in ("rep", "component"))
+        reps, comps, sizes = (table.column(c).to_numpy() for c in ("rep", "component", "n"))
         bands = _signatures(table.column("sig")).reshape(-1, BANDS, ROWS)
         fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, BINS)
         band = table.column("band")[0].as_py()
         a, b, cut = [], [], False
         for x in range(len(reps)):
             other = np.flatnonzero(comps != comps[x])
-            full = (fine[other] | fine[x]) > 0
-            places = full.sum(axis=1)
-            est = ((fine[other] == fine[x]) & full).sum(axis=1) / np.maximum(places, 1)
-            near = est >= least_share(places)
+            near, est = near_sketches(fine[other], sizes[other], fine[x], sizes[x])
             other, est = other[near], est[near]
             if band > 0:  # a pair is tried in the first band that both share
                 earlier = (bands[other, :band] == bands[x, :band]).all(axis=2).any(axis=1)
@@ -229,18 +243,18 @@ def _reopened(k: int):
     return run
 
 
-def _with_key(rows: DataFrame, per_key: DataFrame, size: str, scratch: Scratch) -> DataFrame:
-    """``rows`` (key, rep, ..) with the one row of the written ``per_key`` (key, ..) for their key; ``size`` names its number of rows.
+def _with_key(rows: DataFrame, per_key: DataFrame, size: str, scratch: Scratch, how: str = "inner") -> DataFrame:
+    """``rows`` (key, rep, ..) joined to the one row of the written ``per_key`` (key, ..) for their key; ``size`` names its number of rows.
 
     Beyond the bound of a broadcast, a key with more than ``BLOCK`` rows is dealt out over as many places as it has blocks, so that a hot one doesn't meet in one task.
     """
     n = per_key.count()
     if 32 * n <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(per_key), "key")
+        return rows.join(F.broadcast(per_key), "key", how)
     hot = scratch.write(per_key.where(F.col(size) > BLOCK).select("key", F.ceil(F.col(size) / BLOCK).cast("int").alias("_parts")), "hot")
     spread = rows.join(checked(hot, 16 * hot.count()), "key", "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
     parts = F.sequence(F.lit(0), F.ceil(F.col(size) / BLOCK).cast("int") - 1)
-    return spread.join(per_key.withColumn("_part", F.explode(parts)), ["key", "_part"]).drop("_part")
+    return spread.join(per_key.withColumn("_part", F.explode(parts)), ["key", "_part"], how).drop("_part")
 
 
 def _open_buckets(buckets: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
@@ -304,7 +318,7 @@ def _finer_buckets(docs: DataFrame, large: DataFrame, rows: int, scratch: Scratc
 def _open_pairs(open_: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """Candidate pairs (a, b) of open buckets; a row with null b says that k cut something off."""
     ids = open_.select("rep").distinct()
-    sketches = classes.select("rep", "sig", "fine").join(checked(ids, 16 * ids.count()), "rep", "left_semi")
+    sketches = classes.select("rep", "n", "sig", "fine").join(checked(ids, 16 * ids.count()), "rep", "left_semi")
     return open_.join(sketches, "rep").groupBy("key").applyInArrow(_reopened(k), "a long, b long").distinct()
 
 
@@ -315,8 +329,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = scratch.write(docs.mapInArrow(lean(_sketches), "doc_id long, n long, f1 long, f2 long, sig binary, fine binary"), "sketch")
     live = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    least = sketch.where(live).groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    members = scratch.write(sketch.select("doc_id", "n", *[F.when(live, F.col(c)).alias(c) for c in ("f1", "f2")]).join(least, ["f1", "f2"], "left").select("doc_id", "n", "rep"), "members")
+    # Only sets that several rows have need a meeting; a key of many rows is an exact copy of a text.
+    keyed = sketch.select("doc_id", "n", F.when(live, F.struct("f1", "f2")).alias("key"), F.col("doc_id").alias("rep"))
+    least = keyed.where("key is not null").groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    named = _with_key(keyed, scratch.write(least, "least"), "m", scratch, "left")
+    members = scratch.write(named.select("doc_id", "n", F.when(F.col("key").isNotNull(), F.coalesce("least", "doc_id")).alias("rep")), "members")
     # An id with several texts belongs to all their classes and ties them together.
     tied = members.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("v"), F.max("rep").alias("hi")).where("v <> hi")
     tied = scratch.write(members.join(tied.select("doc_id", "v"), "doc_id").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct(), "tied")
