@@ -33,24 +33,38 @@ ROWS = 4096
 _EPS = 1e-9
 
 
+def _running(rows: DataFrame, order: list[Column], sums: dict[str, str], scratch: Scratch) -> DataFrame:
+    """``rows`` with, for each new name, the sum of a column over all rows before in an order.
+
+    Rows are dealt out by ranges; sums run within a range, and ranges are added up by their totals, one row for each.
+    """
+    spark = rows.sparkSession
+    placed = scratch.write(rows.repartitionByRange(tasks(spark), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = before(Window.partitionBy("_range").orderBy(*order))
+    totals = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_o_{k}") for k, c in sums.items()])
+    first = totals.select("_range", *[F.coalesce(F.sum(f"_o_{k}").over(before(Window.orderBy("_range"))), F.lit(0)).alias(f"_o_{k}") for k in sums])
+    out = placed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{k}") for k, c in sums.items()]).join(F.broadcast(first), "_range")
+    return out.select(*rows.columns, *[(F.col(f"_i_{k}") + F.col(f"_o_{k}")).alias(k) for k in sums])
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
     """(source, n, source_size, target) of rows (source, size).
 
     Capped sources are those with the smallest room per weight: with sources in that order, the
     first k are capped if k is the least number after which the common rate fits all others.
     """
+    scratch = Scratch(sized.sparkSession, "targets")
     per = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    at = (F.row_number().over(order) - 1) % len(weights)
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), at + 1))
-    room = F.col("source_size") * F.lit(most)
-    by_room = Window.orderBy(room / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_room.rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = Window.partitionBy()
-    rate = (F.sum("source_size").over(all_rows) - F.coalesce(F.sum(room).over(before), F.lit(0))) / (F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    per = per.withColumn("rate", rate).withColumn("free", room / F.col("weight") >= F.col("rate"))
-    first = F.min(F.when(F.col("free"), F.struct((room / F.col("weight")).alias("room"), F.col("rate").alias("rate")))).over(all_rows)
-    target = F.least(room.cast("double"), F.col("weight") * F.coalesce(first["rate"], F.lit(0.0)))
+    by_name = F.col("source").asc_nulls_last()
+    per = _running(per.withColumn("one", F.lit(1)), [by_name], {"at": "one"}, scratch)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("at") % len(weights)).cast("int") + 1)
+    per = per.withColumn("weight", weight).withColumn("room", F.col("source_size") * F.lit(most)).withColumn("per_weight", F.col("room") / F.col("weight"))
+    per = scratch.write(_running(per, [F.col("per_weight").asc(), by_name], {"room_before": "room", "weight_before": "weight"}, scratch), "rooms")
+    whole = per.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    rate = (F.lit(whole["size"] or 0) - F.col("room_before")) / (F.lit(whole["weight"] or 0) - F.col("weight_before"))
+    free = per.withColumn("rate", rate).where("per_weight >= rate").agg(F.min(F.struct("per_weight", "rate")).alias("x")).select("x.rate").first()
+    target = F.least(F.col("room").cast("double"), F.col("weight") * F.lit(float(free["rate"] or 0.0) if free else 0.0))
     return per.select("source", "n", "source_size", target.alias("target"))
 
 
