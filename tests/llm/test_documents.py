@@ -350,6 +350,22 @@ def test_punctuation_rules(spark):
     assert all(r["lost"] == 0 for r in quality_rules.report(kept).collect())
 
 
+def test_line_rules_agree_with_their_sql(spark, tmp_path):
+    import duckdb
+
+    from cubeloom.llm.sql import quality_relation
+
+    rng = random.Random(12)
+    lines = ["--------", "BUY NOW! FREE MONEY!", "Home News Sport", "About", "", " \t", "Home | News | Sport | About", "Ja, -", "A heading", "\u4f60" * 70, "\u00c9T\u00c9 \u00c0 PARIS! \u00c9T\u00c9!", "All rights reserved.", "\u2022 one \u2022 two \u203a three", "buy*** now### cheap$$$", "(end)", "so it goes \u2026 \u201d", "THE!! OF!! AND!!", "Read the Privacy Policy at once, " + "and then some more words of prose " * 4]
+    rows = [(i, "\n".join(rng.choice(lines) if rng.random() < 0.6 else sentence(rng, rng.randint(1, 14)) for _ in range(rng.randint(1, 14)))) for i in range(300)] + [(300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"file://{tmp_path}/d")
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean"]
+    want = duckdb.execute(f"SELECT {', '.join(names)} FROM {quality_relation(f"'{tmp_path}/d/*.parquet'")}").fetchall()
+    got = quality_rules.measured(docs).withColumnRenamed("_clean", "clean").select(names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len({r["kept"] for r in got}) == 2
+
+
 def test_prose_that_mentions_a_phrase_stays(spark):
     rng = random.Random(10)
     prose, more = (" ".join(sentence(rng, 12).capitalize() for _ in range(6)) for _ in range(2))
@@ -683,3 +699,18 @@ def test_pipeline(spark, docs, texts, tmp_path):
     for r in mixed.collect():
         length[r["doc_id"]] -= len(own.encode(r["text"], add_special_tokens=False).ids) + 1
     assert not any(length.values())
+
+
+def test_pipeline_odd(spark, odd, empty, tmp_path):
+    """Nulls, repeated rows, clashing names and empty tables go through all stages."""
+    import corpus_pipeline
+
+    for name, docs in (("odd", odd), ("empty", empty)):
+        docs.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        kept = spark.read.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            kept = f(spark, kept, f"{tmp_path}/{name}")
+            assert kept.columns == docs.columns, stage
+        out = corpus_pipeline.run(spark, f"file://{tmp_path}/{name}")
+        rows = out.collect()
+        assert {r["doc_id"] for r in rows} <= {1, None} and bool(rows) == (name == "odd")
