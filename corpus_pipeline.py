@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its
 result is written as Parquet and read again.  All but the last return the columns of
 documents.
+
+Null and short texts fail the quality rules and go with the first stage.  Rows that repeat an id
+are one document to the near-duplicate stage, a row without an id is kept there; columns beside
+the text and its length pass through whatever they are called.  An empty table gives no rows.
 """
 
 from __future__ import annotations
