@@ -162,7 +162,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that pass, without their bad lines; n_chars, where there is one, follows a changed text."""
-    out = measured(packed(docs, "text")).where("kept")
+    # As a generator's output: a condition on plain columns is pushed below them, and all they are made of is computed again, for every line.
+    out = measured(packed(docs, "text")).select("_row", "text", F.inline(F.array(F.struct("_clean", "kept")))).where("kept")
     same = F.col("text") == F.col("_clean")
     n_chars = F.when(same, F.col("_row")["n_chars"]).otherwise(F.char_length("_clean").cast("long")) if "n_chars" in docs.columns else F.lit(None)
     return out.select(unpacked(docs, text=F.col("_clean"), n_chars=n_chars))
