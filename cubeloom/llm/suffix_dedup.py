@@ -6,9 +6,10 @@ document with a smaller id.
 1. Each string chooses the 16-byte stretch in it with the least hash; strings whose stretch
    occurs once in the corpus are unique and go no further.
 2. The others are dealt to shards by their stretch, so that equal strings meet: for each
-   stretch the bytes of all its strings are sent once, as one fragment.  Of equal fragments,
-   first in a block and then in a shard, only the smallest document's is searched; the others
-   are removed as a whole.
+   stretch the bytes of all its strings are sent once, as one fragment.  A task's shards are
+   sent to together, a row for each ``ROOM`` bytes of text, so that rows don't multiply with
+   the number of shards.  Of equal fragments, first in a block and then in a shard, only the
+   smallest document's is searched; the others are removed as a whole.
 3. In a shard, documents come in ascending order of id, in batches.  A batch gets a suffix
    array: the places of its strings in the shared bytes of its fragments, in byte order, sorted
    by eight bytes at a time and only as far as strings are still alike.  It is merge-scanned
@@ -44,8 +45,11 @@ WINDOW = 50
 STRETCH = 16
 #: Strings in a batch, in a shard, and in a block of a merge-scan, about.
 BATCH = 1 << 17
-SHARD = 1 << 20
+SHARD = 1 << 19
 SCAN = 1 << 15
+#: Shards that a task gets at once, at most, and bytes of texts whose fragments a task deals out together, about.
+TASK_SHARDS = 16
+ROOM = 1 << 24
 
 
 @dataclass
@@ -170,18 +174,21 @@ def repeated_later(data: np.ndarray, places: np.ndarray, docs: np.ndarray, windo
     return out
 
 
-_FRAGMENTS = "shard int, src long, docs binary, ths binary, f_doc binary, f_start binary, f_width binary, bytes binary"
-_NAMES = ["shard", "src", "docs", "ths", "f_doc", "f_start", "f_width", "bytes"]
+_FRAGMENTS = "part int, src long, docs binary, ths binary, f_doc binary, f_start binary, f_width binary, counts binary, bytes binary"
+_NAMES = ["part", "src", "docs", "ths", "f_doc", "f_start", "f_width", "counts", "bytes"]
 
 
-def _fragments(window: int, shards: int, narrowed: bool = True):
-    def block(src: int, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _fragments(window: int, parts: int, each: int = 1, narrowed: bool = True):
+    """Texts to fragments, dealt to ``parts`` parts of ``each`` shards: a row for each part and about ROOM bytes of text, its fragments by shard."""
+    shards = np.uint64(parts * each)
+
+    def block(part: pa.RecordBatch) -> tuple | None:
         ids = part.column(0).to_numpy(zero_copy_only=False)
         ths = part.column(1).to_numpy(zero_copy_only=False)
         raw, off = _text.string_buffers(part.column(2))
         first, p, doc, at, keys = chosen(raw, off, window, STRETCH, part.column(3).to_pylist() if narrowed else None, True)
         if not len(at):
-            return
+            return None
         width = np.diff(np.append(at, len(p)))
         begin, owner = p[at], doc[at]
         start = begin - first[owner]
@@ -193,27 +200,51 @@ def _fragments(window: int, shards: int, narrowed: bool = True):
             if d < least.get(piece, d + 1):
                 least[piece] = d
         later = id_of > np.fromiter(map(least.__getitem__, pieces), np.int64, len(pieces))
-        shard = (((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+        shard = (((keys >> np.uint64(32)) * shards) >> np.uint64(32)).astype(np.int32)
         shard[later] = -1
+        return flat, ids, ths, owner.astype(np.uint32), begin.astype(np.uint32), start.astype(np.uint32), width.astype(np.uint16), shard
+
+    def dealt(src: int, blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
+        n_bytes, n_docs = (np.cumsum([0, *(len(b[i]) for b in blocks[:-1])]).astype(np.uint32) for i in (0, 1))
+        flats, ids, ths, owner, begin, start, width, shard = zip(*blocks)
+        owner = np.concatenate([x + k for x, k in zip(owner, n_docs)])
+        begin = np.concatenate([x + k for x, k in zip(begin, n_bytes)])
+        ids, ths, start, width, shard = map(np.concatenate, (ids, ths, start, width, shard))
+        flat = b"".join(flats)
         order = np.argsort(shard, kind="stable")
-        cut = np.append(np.flatnonzero(np.diff(shard[order], prepend=-2)), len(order))
-        rows: list[list] = [[] for _ in _NAMES]
-        for lo, hi in zip(cut[:-1], cut[1:]):
-            mine = order[lo:hi]
+        part = shard[order] // each
+        cut = np.append(np.flatnonzero(np.diff(part, prepend=-2)), len(order))
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
+        rows: list[list] = []
+        held = 0
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            mine, k = order[lo:hi], int(part[lo])
             used, f_doc = np.unique(owner[mine], return_inverse=True)
-            s = int(shard[mine[0]])
-            values = [s, src, ids[used].tobytes(), ths[used].tobytes(), f_doc.astype(np.uint32).tobytes(), start[mine].astype(np.uint32).tobytes(), width[mine].astype(np.uint16).tobytes(), b"" if s < 0 else b"".join([pieces[i] for i in mine])]
-            for c, x in zip(rows, values):
-                c.append(x)
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=_NAMES)
+            counts, sent = b"", b""
+            if k >= 0:
+                counts = np.bincount(shard[mine] - k * each, minlength=each).astype(np.uint32).tobytes()
+                at = begin[mine].astype(np.int64)
+                sent = b"".join([flat[x:y] for x, y in zip(at.tolist(), (at + width[mine] + window - 1).tolist())])
+            rows.append([k, src, ids[used].tobytes(), ths[used].tobytes(), f_doc.astype(np.uint32).tobytes(), start[mine].tobytes(), width[mine].tobytes(), counts, sent])
+            held += len(sent)
+            if held >= BYTES_CHUNK or hi == len(order):
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=_NAMES)
+                rows, held = [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src = TaskContext.get().partitionId() << 32
+        blocks: list[tuple] = []
+        held = 0
         for b in batches:
             for part in slices(b, 2, BYTES_CHUNK):
-                src += 1
-                yield from block(src, part)
+                if (found := block(part)) is not None:
+                    blocks.append(found)
+                    held += len(found[0])
+                if held >= ROOM:
+                    yield from dealt(src, blocks)
+                    src, blocks, held = src + 1, [], 0
+        if blocks:
+            yield from dealt(src, blocks)
 
     return run
 
@@ -228,72 +259,75 @@ def _hits(src: int, docs: bytes, ths: bytes, f_doc: np.ndarray, lo: np.ndarray,
     return [src, take(docs), take(ths), again.astype(np.uint32).tobytes(), lo.astype(np.uint32).tobytes(), hi.astype(np.uint32).tobytes()]
 
 
-def _shard_hits(window: int):
-    def shard_rows(rows: list[dict], family: IndexFamily | None = None) -> Iterator[list]:
-        f_doc = [np.frombuffer(r["f_doc"], np.uint32).astype(np.int64) for r in rows]
-        f_start = [np.frombuffer(r["f_start"], np.uint32).astype(np.int64) for r in rows]
-        f_width = [np.frombuffer(r["f_width"], np.uint16).astype(np.int64) for r in rows]
-        if rows[0]["shard"] < 0:
-            for r, d, s, w in zip(rows, f_doc, f_start, f_width):
-                yield _hits(r["src"], r["docs"], r["ths"], d, s, s + w)
-            return
-        owner = np.repeat(np.arange(len(rows)), [len(d) for d in f_doc])
-        ids = np.concatenate([np.frombuffer(r["docs"], np.int64)[d] for r, d in zip(rows, f_doc)])
-        doc, start, width = map(np.concatenate, (f_doc, f_start, f_width))
-        size = width + window - 1
-        at = np.cumsum(size) - size
-        blob = b"".join(r["bytes"] for r in rows)
-        order = np.argsort(ids, kind="stable")
+def _part_hits(window: int):
+    def searched(blob: bytes, at: np.ndarray, width: np.ndarray, ids: np.ndarray, mine: np.ndarray, family: IndexFamily | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(fragments, lo, hi): the removed strings of a shard, whose fragments are ``mine``, as places in their fragments."""
+        order = mine[np.argsort(ids[mine], kind="stable")]
+        size = width[order] + window - 1
         # A fragment that a smaller document has too is removed as a whole; the others are searched.
         least: dict[bytes, int] = {}
-        later = np.zeros(len(ids), bool)
-        for i, lo, n, d in zip(order.tolist(), at[order].tolist(), size[order].tolist(), ids[order].tolist()):
-            later[i] = least.setdefault(blob[lo : lo + n], d) < d
+        later = np.fromiter((least.setdefault(blob[lo : lo + n], d) < d for lo, n, d in zip(at[order].tolist(), size.tolist(), ids[order].tolist())), bool, len(order))
         del least
-        order = order[~later[order]]
-        w, n = width[order], size[order]
+        whole, order, n = order[later], order[~later], size[~later]
+        w = width[order]
         data = np.frombuffer(b"".join([blob[lo : lo + k] for lo, k in zip(at[order].tolist(), n.tolist())]), np.uint8)
-        del blob
         inner = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
         frag = np.repeat(order, w)
         hit = repeated_later(data, np.repeat(np.cumsum(n) - n, w) + inner, ids[frag], window, family=family)
-        del data
-        whole = np.flatnonzero(later)
-        inner = np.concatenate([inner[hit], np.arange(int(width[whole].sum())) - np.repeat(np.cumsum(width[whole]) - width[whole], width[whole])])
-        frag = np.concatenate([frag[hit], np.repeat(whole, width[whole])])
-        if not len(frag):
-            return
+        frag, inner = frag[hit], inner[hit]
         fresh = np.ones(len(frag), bool)
         fresh[1:] = (frag[1:] != frag[:-1]) | (inner[1:] != inner[:-1] + 1)
         lo_at = np.flatnonzero(fresh)
-        hi_at = np.append(lo_at[1:], len(frag)) - 1
-        f = frag[lo_at]
-        lo, hi = start[f] + inner[lo_at], start[f] + inner[hi_at] + 1
+        hi_at = np.append(lo_at[1:], len(frag))[: len(lo_at)] - 1
+        return np.concatenate([frag[lo_at], whole]), np.concatenate([inner[lo_at], np.zeros(len(whole), np.int64)]), np.concatenate([inner[hi_at] + 1, width[whole]])
+
+    def part_rows(rows: list[dict], family: IndexFamily | None = None) -> Iterator[list]:
+        """Hits of a part's rows; a family is that of a part of one shard."""
+        f_doc, f_start, f_width = ([np.frombuffer(r[name], kind).astype(np.int64) for r in rows] for name, kind in (("f_doc", np.uint32), ("f_start", np.uint32), ("f_width", np.uint16)))
+        if rows[0]["part"] < 0:
+            for r, d, s, w in zip(rows, f_doc, f_start, f_width):
+                yield _hits(r["src"], r["docs"], r["ths"], d, s, s + w)
+            return
+        owner = np.repeat(np.arange(len(rows)), [len(d) for d in f_doc])
+        ids = np.concatenate([np.frombuffer(r["docs"], np.int64)[d] for r, d in zip(rows, f_doc)])
+        doc, start, width = map(np.concatenate, (f_doc, f_start, f_width))
+        del f_doc, f_start, f_width
+        counts = np.stack([np.frombuffer(r["counts"], np.uint32) for r in rows])
+        shard = np.repeat(np.tile(np.arange(counts.shape[1]), len(rows)), counts.ravel())
+        at = np.cumsum(width + window - 1) - (width + window - 1)
+        blob = b"".join([r.pop("bytes") for r in rows])
+        by_shard = np.argsort(shard, kind="stable")
+        cut = np.searchsorted(shard[by_shard], np.arange(counts.shape[1] + 1))
+        found = [searched(blob, at, width, ids, by_shard[a:b], family) for a, b in zip(cut[:-1], cut[1:]) if a < b]
+        del blob
+        f, lo, hi = map(np.concatenate, zip(*found))
         by_row = np.argsort(owner[f], kind="stable")
-        cut = np.searchsorted(owner[f][by_row], np.arange(len(rows) + 1))
-        for i, r in enumerate(rows):
-            mine = by_row[cut[i] : cut[i + 1]]
-            if len(mine):
-                yield _hits(r["src"], r["docs"], r["ths"], doc[f[mine]], lo[mine], hi[mine])
+        f, lo, hi = f[by_row], lo[by_row], hi[by_row]
+        cut = np.searchsorted(owner[f], np.arange(len(rows) + 1))
+        for r, a, b in zip(rows, cut[:-1], cut[1:]):
+            if a < b:
+                yield _hits(r["src"], r["docs"], r["ths"], doc[f[a:b]], start[f[a:b]] + lo[a:b], start[f[a:b]] + hi[a:b])
 
-    return shard_rows
+    return part_rows
 
 
 def _search(window: int):
-    shard_rows = _shard_hits(window)
+    part_rows = _part_hits(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-            for values in shard_rows(rows):
+            for values in part_rows(rows):
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, [pa.int64(), *[pa.binary()] * 5])], names=["src", "docs", "ths", "h_doc", "lo", "hi"])
 
         rows: list[dict] = []
         for b in batches:
-            for r in b.to_pylist():
-                if rows and (rows[0]["shard"] != r["shard"] or r["shard"] < 0):
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                if rows and (rows[0]["part"] != r["part"] or r["part"] < 0):
                     yield from out(rows)
                     rows = []
                 rows.append(r)
+            del b
         if rows:
             yield from out(rows)
 
@@ -359,11 +393,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_bytes: bool = Fal
     named = rows.where("doc_id is not null")
     found = level(named, window, STRETCH, False, scratch, of_bytes=True)
     strings = found.mapInArrow(lean(_count), "n long").agg(F.sum("n")).first()[0] or 0
-    shards = max(tasks(spark), -(-strings // SHARD))
-    sent = with_ranges(named, found, "inner").select("doc_id", "th", "text", "ranges").mapInArrow(lean(_fragments(window, shards)), _FRAGMENTS)
-    # Blocks' own hits (shard -1) need no meeting and stay spread.
-    dealt = sent.withColumn("deal", F.when(F.col("shard") < 0, F.xxhash64("src")).otherwise(F.col("shard").cast("long")))
-    dealt = dealt.repartition(tasks(spark), "deal").drop("deal").sortWithinPartitions("shard")
+    shards = -(-strings // SHARD)
+    parts = max(tasks(spark), -(-shards // TASK_SHARDS))
+    each = max(1, -(-shards // parts))
+    sent = with_ranges(named, found, "inner").select("doc_id", "th", "text", "ranges").mapInArrow(lean(_fragments(window, parts, each)), _FRAGMENTS)
+    # Texts' own hits (part -1) need no meeting and stay spread.
+    deal = F.when(F.col("part") < 0, F.pmod(F.xxhash64("src"), F.lit(parts))).otherwise(F.col("part")).cast("int")
+    dealt = sent.repartitionById(parts, deal).sortWithinPartitions("part")
     hits = dealt.mapInArrow(lean(_search(window)), _HITS)
     out = _told(spark, rows, hits, window, with_bytes, scratch)
     scratch.drop(found)
@@ -394,14 +430,14 @@ _LEVELS = "shard int, level int, data binary, places binary"
 
 def _extended(window: int):
     """A shard's new fragments and stored levels to its hits (kind 0) and its levels after them (kind 1)."""
-    shard_rows = _shard_hits(window)
+    part_rows = _part_hits(window)
     hit_kinds = [pa.int64(), *[pa.binary()] * 5]
 
     def run(key: tuple, new: pa.Table, stored: pa.Table) -> pa.Table:
         family = IndexFamily()
         for r in sorted(stored.to_pylist(), key=lambda r: r["level"]):
             family.levels.append(Run(np.frombuffer(r["data"], np.uint8), np.frombuffer(r["places"], np.int64), window))
-        hits = list(shard_rows(new.to_pylist(), family)) if new.num_rows else []
+        hits = list(part_rows(new.to_pylist(), family)) if new.num_rows else []
         levels = [[i, x.data.tobytes(), x.places.astype(np.int64).tobytes()] for i, x in enumerate(family.levels)]
         n, m, shard = len(hits), len(levels), key[0].as_py()
         columns = [pa.array([0] * n + [1] * m, pa.int32()), pa.array([shard] * (n + m), pa.int32())]
@@ -424,11 +460,11 @@ def add_batch(docs: DataFrame, levels: DataFrame | None = None, window: int = WI
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-batch")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    sent = rows.where("doc_id is not null").withColumn("ranges", F.lit(None).cast("binary")).mapInArrow(lean(_fragments(window, shards, False)), _FRAGMENTS)
+    sent = rows.where("doc_id is not null").withColumn("ranges", F.lit(None).cast("binary")).mapInArrow(lean(_fragments(window, shards, narrowed=False)), _FRAGMENTS)
     sent = scratch.write(sent, "fragments")
     levels = spark.createDataFrame([], _LEVELS) if levels is None else levels
-    both = sent.where("shard >= 0").groupBy("shard").cogroup(levels.groupBy("shard"))
+    both = sent.where("part >= 0").groupBy("part").cogroup(levels.groupBy("shard"))
     both = scratch.write(both.applyInArrow(_extended(window), "kind int, " + _LEVELS + ", " + _HITS), "levels")
-    own = sent.where("shard < 0").mapInArrow(lean(_search(window)), _HITS)
+    own = sent.where("part < 0").mapInArrow(lean(_search(window)), _HITS)
     hits = both.where("kind = 0").select(own.columns).union(own)
     return _told(spark, rows, hits, window, with_bytes, scratch), both.where("kind = 1").select("shard", "level", "data", "places")

@@ -206,6 +206,22 @@ def test_suffix_dedup(docs, texts):
     assert [tuple(got[i])[1:-1] + (bytes(got[i]["kept"]),) for i in range(len(texts))] == repeated_bytes(texts)
 
 
+def test_rows_between_tasks_do_not_multiply_with_shards(docs, texts, monkeypatch):
+    """Shards of a task travel together: else rows are texts' blocks times shards, the square of the input."""
+    plain, rows = suffix_dedup._told, []
+
+    def told(spark, docs, hits, *more):
+        rows.append(hits.count())
+        return plain(spark, docs, hits, *more)
+
+    monkeypatch.setattr(suffix_dedup, "SHARD", 64)
+    monkeypatch.setattr(suffix_dedup, "_told", told)
+    got = by_id(suffix_dedup.remove_repeats(docs, with_bytes=True))
+    assert [tuple(got[i])[1:-1] + (bytes(got[i]["kept"]),) for i in range(len(texts))] == repeated_bytes(texts)
+    n = sum(len((t or "").encode()) for t in texts)
+    assert rows[0] <= 3 * (1 + max(4, n // 64 // 16))
+
+
 def test_batches_added_to_a_stored_index(spark, docs, texts, tmp_path):
     """Batch after batch against stored levels gives what one call over everything gives."""
     levels, got = None, {}
