@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import WORD_RE, let, packed, text_or_empty, unpacked, words_of
+from ._spark import SPACE_RE, WORD_RE, let, packed, text_or_empty, unpacked, words_of
 
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
@@ -33,6 +33,8 @@ LEAST_MARKS = 8
 MOST_MARKS = 0.3
 #: A line is shouting if so much of its cased letters is capitals, from LEAST_LETTERS on, or from LEAST_SHOUTED on where it has an exclamation mark.
 MOST_CAPITALS = 0.7
+#: Marks and capitals: separators, each junk word's last two symbols and all that punctuation rules count are among them.
+SIGNS = "[\\p{P}\\p{S}\\p{Lu}]"
 LEAST_LETTERS = 20
 LEAST_SHOUTED = 8
 #: What a line of prose ends with, closing marks aside; with commas and colons, after which prose goes on.
@@ -60,26 +62,36 @@ BOILERPLATE = (
 )
 
 
-def boilerplate(line: Column, n_words: Column) -> Column:
+def solid(text: Column) -> Column:
+    """Number of characters that aren't blank."""
+    return F.char_length(F.regexp_replace(text, SPACE_RE, ""))
+
+
+def boilerplate(line: Column) -> Column:
     """Whether a line has a phrase of boilerplate and is short, or phrases are a large share of it: prose may mention one."""
     phrases = "(?i)" + "|".join(BOILERPLATE)
     rest = F.char_length(F.regexp_replace(line, phrases, ""))
-    short = (n_words <= MOST_PHRASE_WORDS) & (F.char_length(line) <= MOST_PHRASE_CHARS)
+    short = (F.char_length(line) <= MOST_PHRASE_CHARS) & (F.regexp_count(line, F.lit(WORD_RE)) <= MOST_PHRASE_WORDS)
     return line.rlike(phrases) & (short | (F.char_length(line) - rest >= F.char_length(line) * LEAST_PHRASES))
 
 
-def bad_punctuation(line: Column) -> Column:
-    """Whether a line is mostly marks, or shouting."""
-    n_marks, n_solid = F.regexp_count(line, F.lit(MARKS)), F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]"))
-    marks = (n_marks * 2 > n_solid) | ((n_marks >= LEAST_MARKS) & (n_marks > n_solid * MOST_MARKS))
+def mostly_marks(line: Column) -> Column:
+    """Whether a line is mostly marks."""
+    n_marks, n_solid = F.regexp_count(line, F.lit(MARKS)), solid(line)
+    return (n_marks * 2 > n_solid) | ((n_marks >= LEAST_MARKS) & (n_marks > n_solid * MOST_MARKS))
+
+
+def shouting(line: Column) -> Column:
+    """Whether most of a line's cased letters are capitals."""
     capitals, letters = F.regexp_count(line, F.lit("\\p{Lu}")), F.regexp_count(line, F.lit("[\\p{Lu}\\p{Ll}]"))
     least = F.when(line.rlike("[!\\uff01]"), LEAST_SHOUTED).otherwise(LEAST_LETTERS)
-    return marks | ((letters >= least) & (capitals > letters * MOST_CAPITALS))
+    # Capitals alone rule out most lines: every match of the other letters would be copied.
+    return (capitals > LEAST_SHOUTED * MOST_CAPITALS) & (letters >= least) & (capitals > letters * MOST_CAPITALS)
 
 
 def stub(line: Column) -> Column:
     """Whether a line is short and without an end mark; null for a blank line."""
-    short = (F.regexp_count(line, F.lit(WORD_RE)) < LEAST_LINE_WORDS) & (F.char_length(line) < LEAST_LINE_CHARS)
+    short = (F.char_length(line) < LEAST_LINE_CHARS) & (F.regexp_count(line, F.lit(WORD_RE)) < LEAST_LINE_WORDS)
     return F.when(line.rlike(WORD_RE), short & ~line.rlike(END_MARK))
 
 
@@ -91,10 +103,17 @@ def in_menu(stubs: Column, i: Column) -> Column:
 
 def bad_line(line: Column) -> Column:
     """Whether a non-blank line is to be removed: bad punctuation, navigation, boilerplate, or mostly junk words."""
-    n_words = F.regexp_count(line, F.lit(WORD_RE))
-    nav = F.regexp_count(line, F.lit(NAVIGATION)) >= F.greatest(F.lit(LEAST_SEPARATORS), n_words / 4)
-    junk = F.regexp_count(line, F.lit(JUNK_WORD)) * 2 > n_words
-    return nav | junk | boilerplate(line, n_words) | bad_punctuation(line)
+
+    def by_signs(n: Column) -> Column:
+        """The rules that need signs, each only where the line has enough of them."""
+        n_words = F.regexp_count(line, F.lit(WORD_RE))
+        n_separators = F.regexp_count(line, F.lit(NAVIGATION))
+        nav = (n >= LEAST_SEPARATORS) & (n_separators >= LEAST_SEPARATORS) & (n_separators >= n_words / 4)
+        junk = (n >= 2) & line.rlike(JUNK_WORD) & (F.regexp_count(line, F.lit(JUNK_WORD)) * 2 > n_words)
+        marks = ((n >= LEAST_MARKS) | (n * 2 > solid(line))) & mostly_marks(line)
+        return nav | junk | marks | ((n > LEAST_SHOUTED * MOST_CAPITALS) & shouting(line))
+
+    return let(F.regexp_count(line, F.lit(SIGNS)), by_signs) | boilerplate(line)
 
 
 def repeated_words(words: Column, k: int = WINDOW) -> Column:
@@ -148,7 +167,6 @@ def measured(docs: DataFrame) -> DataFrame:
         .withColumn("n_repeat_words", repeated_words(F.col("_words")))
         .withColumn("_clean", F.when(F.size("_kept") == F.size("_lines"), text).otherwise(F.array_join("_kept", "\n")))
     )
-    solid = lambda c: F.char_length(F.regexp_replace(c, "[\\x20\\x09-\\x0D]+", ""))
     lost = F.when(F.size("_kept") == F.size("_lines"), F.lit(0.0)).otherwise(1.0 - solid(F.col("_clean")) / F.greatest(F.col("word_chars"), F.lit(1)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     step = step.withColumn("lost", lost).withColumn("base_failed", failed)

@@ -382,6 +382,24 @@ def test_line_rules_agree_with_their_sql(spark, tmp_path):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len({r["kept"] for r in got}) == 2
 
 
+def test_gates_before_line_rules_change_nothing(spark, tmp_path):
+    """Lines around the bounds at which rules are looked at; and no rule copies out every character of a line."""
+    import duckdb
+
+    from cubeloom.llm.sql import quality_relation
+
+    rng = random.Random(13)
+    signs = [*"|\u00bb\u203a\u2022#*$!.,_`^~\u20ac\u00a7ABCDE\u00c9\u0416", "!!", "##", "AB!!", "ABCDEF", "ABCDEFG", "ab", "abc", "\u00e9\u0436", "7", " ", " ", "\t"]
+    rows = [(i, "\n".join("".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(25))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"file://{tmp_path}/d")
+    want = duckdb.execute(f"SELECT doc_id, clean FROM {quality_relation(f"'{tmp_path}/d/*.parquet'")}").fetchall()
+    got = quality_rules.measured(docs).select("doc_id", "_clean")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "[\\p{P}\\p{S}]" in plan and "[^\\x20\\x09-\\x0D]," not in plan
+
+
 def test_prose_that_mentions_a_phrase_stays(spark):
     rng = random.Random(10)
     prose, more = (" ".join(sentence(rng, 12).capitalize() for _ in range(6)) for _ in range(2))
